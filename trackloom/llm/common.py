@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def work_root(spark: SparkSession) -> str:
@@ -41,3 +44,47 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bitmap(rows: DataFrame, bit: Column) -> DataFrame:
+    """(word, bitmap): a bitmap of the non-negative numbers ``bit``; as large as their bound, whatever the row count."""
+    at = bit + 1  # the bitmap functions count from 1
+    return rows.groupBy(F.bitmap_bucket_number(at).alias("word")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap"))
+
+
+def probe_bitmap(rows: DataFrame, bit: Column, words: DataFrame) -> DataFrame:
+    """``rows`` with a column ``in_bitmap``. ``words`` is broadcast: 4 KB for each 32768 numbers of its bound."""
+    names = rows.columns
+    at = bit + 1
+    probe = rows.select(*[F.col(f"`{c}`") for c in names], F.bitmap_bucket_number(at).alias("word"), F.bitmap_bit_position(at).alias("bit_at"))
+    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(bit_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.getbit(byte, (F.col("bit_at") % 8).cast("int")) == 1
+    return probe.join(F.broadcast(words), "word", "left").select(*[F.col(f"`{c}`") for c in names], F.coalesce(hit, F.lit(False)).alias("in_bitmap"))
+
+
+def map_text(df: DataFrame, make: Callable[[], Callable[[list], dict]], added: str, *, text_col: str = "text", where: str | None = None) -> DataFrame:
+    """``df`` with columns computed from its texts, batch by batch; rows and their other columns pass unchanged.
+
+    ``make`` runs once per task and returns a function from a list of texts (null: None) to a dict
+    of columns. ``added`` is their DDL; a clashing column of ``df`` gives way to the added one. ``where``
+    names an added boolean column: only rows where it holds go on, without that column.
+    """
+    new = T.StructType.fromDDL(added)
+    fresh = [f.name for f in new if f.name != where]
+    old = [c for c in df.columns if c not in new.names]
+    schema = T.StructType([df.schema[c] for c in old] + [new[n] for n in fresh])
+    kept = list(dict.fromkeys([*old, text_col]))
+    at, from_old = kept.index(text_col), [kept.index(c) for c in old]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        f = make()
+        types = {x.name: to_arrow_type(x.dataType) for x in new}
+        for batch in batches:
+            got = f(batch.column(at).to_pylist())
+            columns = [batch.column(i) for i in from_old] + [pa.array(got[n], types[n]) for n in fresh]
+            out = pa.RecordBatch.from_arrays(columns, names=[*old, *fresh])
+            yield out.filter(pa.array(got[where], pa.bool_())) if where else out
+
+    return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)

@@ -22,9 +22,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import materialise, work_path
+from .common import bitmap, materialise, probe_bitmap, work_path
 
 PARQUET_FILTER = {
     "parquet.bloom.filter.enabled#digest": "true",
@@ -69,17 +68,10 @@ class DigestIndex:
         merged.sortWithinPartitions("digest").write.options(**PARQUET_FILTER).parquet(path)
         return self.spark.read.schema(merged.schema).parquet(path)
 
-    def _bit(self) -> Column:
-        return F.pmod(F.xxhash64("digest"), F.lit(self.filter_bits))
-
     def maybe_hits(self, groups: DataFrame) -> DataFrame:
         """Documents whose digest may lie in ``groups``, by a broadcast bitmap of ``filter_bits`` bits at most."""
-        bits = self._bit() + 1  # the bitmap functions count bits from 1
-        words = groups.groupBy(F.bitmap_bucket_number(bits).alias("word")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bits)).alias("bitmap"))
-        probe = self.docs.withColumn("bit", self._bit() + 1).withColumn("word", F.bitmap_bucket_number("bit")).withColumn("at", F.bitmap_bit_position("bit"))
-        byte = F.conv(F.hex(F.expr("substring(bitmap, cast(at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-        set_ = F.expr("shiftright({}, cast(at % 8 as int)) & 1 = 1".format("byte"))
-        return probe.join(F.broadcast(words), "word").withColumn("byte", byte).where(set_).select("doc_id", "text", "digest")
+        bit = F.pmod(F.xxhash64("digest"), F.lit(self.filter_bits))
+        return probe_bitmap(self.docs, bit, bitmap(groups, bit)).where("in_bitmap").drop("in_bitmap")
 
     def collisions(self, groups: DataFrame) -> DataFrame:
         """Digests under which rows' bytes differ."""
@@ -113,5 +105,3 @@ def exact_duplicates(docs: DataFrame, **options) -> DataFrame:
     """Group rows of equal text; see :class:`DigestIndex` for the options."""
     return DigestIndex(docs, **options).resolve()
 
-
-RESULT = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("keep_id", T.LongType()), ("group_size", T.LongType()), ("kept", T.BooleanType()), ("text_sha256", T.StringType()))])

@@ -5,14 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, harmonic_packing, lsm_dedup, pii, token_packing
-from .common import read_table
+from . import chat_format, decontamination, harmonic_packing, language_id, line_templates, lsm_dedup, pii, quality_gbt, simhash_bk, token_packing
+from .common import held_out, read_table
 
 
 def op1_bfd_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_packing.pack_token_ids(read_table(spark, sf_dir, "documents"))
 
 
+def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.drop_repeated_lines(docs, counts=("n_lines", "n_dropped"))
+
+
+def op3_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_gbt.train(docs, read_table(spark, sf_dir, "labels"))
+    scored = quality_gbt.score(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = harmonic_packing.harmonic_pack(read_table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -31,6 +43,22 @@ from d
 """
 
 
+def op6_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_bk.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash_bk.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = language_id.train(docs)
+    found = language_id.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op8_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(read_table(spark, sf_dir, "documents"))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
@@ -97,8 +125,22 @@ from c group by conv_id
 """
 
 
+ALL = (
+    op1_bfd_token_packing,
+    op2_line_templates,
+    op3_quality_gbt,
+    op4_harmonic_packing,
+    op5_lsm_exact_dedup,
+    op6_simhash_bk,
+    op7_language_id,
+    op8_pigeonhole_decontamination,
+    op9_pii_spans,
+    op10_chat_format,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bfd_token_packing, op4_harmonic_packing, op5_lsm_exact_dedup, op9_pii_spans, op10_chat_format)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
