@@ -15,7 +15,30 @@ def op1_bfd_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_templates.drop_repeated_lines(docs, counts=("n_lines", "n_dropped"))
+    found = line_templates.drop_repeated_lines(docs, counts=("n_lines", "n_dropped"))
+    return found.select("doc_id", "text", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"))
+
+
+OP2 = r"""
+with split as (select doc_id, text, string_split(text, chr(10)) as parts from documents),
+lines as (select doc_id, unnest(range(len(parts))) as pos, unnest(parts) as raw from split),
+tokens as (select doc_id, pos, string_split(regexp_replace(trim(regexp_replace(raw, '\s+', ' ', 'g')), '\S*[0-9]\S*', '<*>', 'g'), ' ') as line from lines),
+kept as (select doc_id, pos, line, len(line) as n, line[1:3] as lead from tokens where len(line) >= 5),
+different as (select n, lead, line, min(doc_id) as first, max(doc_id) as last from kept group by all),
+shared as (select n, lead from different group by all having count(*) > 1),
+spread as (select n, lead, line, unnest(range(n)) as place, unnest(line) as token from different join shared using (n, lead)),
+held as (select *, count(*) over (partition by n, lead, place, token) > 1 as constant from spread),
+general as (select n, lead, line, list(token order by place) filter (constant) as words, list(place order by place) filter (constant) as places from held
+  group by all having count(*) filter (constant) >= n * cast(0.8 as double)),
+named as (select d.*, coalesce(g.words, d.line) as words, g.places from different d left join general g using (n, lead, line)),
+judged as (select n, lead, line, min(first) over same as keeper, max(last) over same as other from named
+  window same as (partition by n, lead, words, places)),
+dropped as (select k.doc_id, k.pos from kept k join judged j using (n, lead, line) where j.keeper != j.other and k.doc_id != j.keeper),
+rebuilt as (select l.doc_id, coalesce(string_agg(raw, chr(10) order by l.pos) filter (d.pos is null), '') as text, count(*) as n_lines, count(d.pos) as n_dropped
+  from lines l left join dropped d on l.doc_id = d.doc_id and l.pos = d.pos group by l.doc_id)
+select s.doc_id, case when r.n_dropped > 0 then r.text else s.text end as text, coalesce(r.n_lines, 0) as n_lines, coalesce(r.n_dropped, 0) as n_dropped
+from split s left join rebuilt r using (doc_id)
+"""
 
 
 def op3_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,42 +88,10 @@ def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.span_list(pii.BASE_KINDS), 256).alias("base_sha256"), pii.span_list(pii.PATTERNS).alias("spans"))
 
 
-def _op9_sql() -> str:
-    """The same spans in DuckDB, from the plain patterns: matches and the gaps between them give positions."""
-    plain = {
-        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-        "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
-        "card": r"[0-9](?:[\x20-]?[0-9])+",
-        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    }
-    # iban and ssn are matched with the character before and after, which RE2 cannot look at
-    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
-    luhn = f"""list_sum(list_transform(range(1, len({digits}) + 1), lambda i: case when i % 2 = 1 then cast(substr(reverse({digits}), i, 1) as int)
-      else (cast(substr(reverse({digits}), i, 1) as int) * 2) % 10 + cast(substr(reverse({digits}), i, 1) as int) // 5 end)) % 10 = 0"""
-    ok = {
-        "email": "true",
-        "ip": "list_max(list_transform(string_split(m, '.'), lambda p: cast(p as hugeint))) <= 255",
-        "card": f"len({digits}) between 13 and 19 and {luhn}",
-        "phone": f"len({digits}) between 9 and 15",
-    }
-    pieces = ", ".join(f"regexp_extract_all(text, '{p}') as m_{k}, string_split_regex(text, '{p}') as g_{k}" for k, p in plain.items())
-    spans = ", ".join(
-        f"""list_transform(list_filter(list_zip(m_{k}, list_transform(range(1, len(m_{k}) + 1),
-          lambda i: list_sum(list_transform(g_{k}[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m_{k}[1:i - 1], lambda x: len(x))), 0))),
-          lambda z: list_bool_and(list_transform([z[1]], lambda m: {ok[k]}))), lambda z: '{k}:' || cast(z[2] as bigint) || ':' || cast(z[2] + len(z[1]) as bigint)) as s_{k}"""
-        for k in plain
-    )
-    base = "array_to_string(s_email || s_ip || s_card || s_phone, ',')"
-    counts = ", ".join(f"cast(len(s_{k}) as bigint) as n_{k}" for k in plain)
-    return f"""
-with d as (select doc_id, coalesce(text, '') as text from documents), p as (select doc_id, {pieces} from d), s as (select doc_id, {spans} from p)
-select doc_id, {counts}, sha256({base}) as base_sha256 from s
-"""
-
-
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = "</s>[INST] ok [/INST]"
-    extra = spark.sql("select -1L as conv_id, turn, role, text from values (0L, 'user'), (1L, 'assistant') as t(turn, role) cross join (select :text as text)", args={"text": words})
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(words).alias("text"))
     table = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     turns = chat_format.read_back(chat_format.format_turns(table))
     rows = F.array_sort(F.collect_list(F.struct("turn_no", "role", "text", "trained")))
@@ -144,4 +135,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_lsm_exact_dedup": OP5, "op10_chat_format": OP10}
+    return {"op2_line_templates": OP2, "op5_lsm_exact_dedup": OP5, "op10_chat_format": OP10}
