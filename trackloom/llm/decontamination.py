@@ -141,8 +141,8 @@ def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
     *,
-    error_rate: float = 0.1,
-    min_piece: int = 10,
+    error_rate: float = 0.08,
+    min_piece: int = 12,
     block_chars: int = 4_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -170,7 +170,7 @@ def find_contamination(
     return reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, error_rate: float = 0.1, min_piece: int = 10, block_chars: int = 4_000_000, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, error_rate: float = 0.08, min_piece: int = 12, block_chars: int = 4_000_000, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without the documents that hold an item; a streaming filter, no shuffle."""
     for items in _blocks(benchmark, item_id, item_text, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(items)
