@@ -97,8 +97,9 @@ class DigestIndex:
         marked = self.docs.join(collided.withColumn("collided", F.lit(True)), "digest", "left")
         rows = materialise(marked.select("digest", F.when(F.col("collided"), F.col("text")).alias("whole"), "doc_id", F.monotonically_increasing_id().alias("row_no")), "whole-texts")
         groups = rows.groupBy("digest", "whole").agg(self._stays(), F.count(F.lit(1)).alias("group_size")).select("digest", "whole", "stays.keep_id", "stays.keep_row", "group_size")
-        found = rows.join(groups, (rows["digest"] == groups["digest"]) & rows["whole"].eqNullSafe(groups["whole"]), "left")
-        return found.select(rows["doc_id"], rows["digest"], "keep_id", "group_size", (F.col("row_no") == F.col("keep_row")).alias("kept"))
+        same = (F.col("r.digest") == F.col("g.digest")) & F.col("r.whole").eqNullSafe(F.col("g.whole"))
+        found = rows.alias("r").join(groups.alias("g"), same, "left")
+        return found.select("r.doc_id", "r.digest", "keep_id", "group_size", (F.col("row_no") == F.col("keep_row")).alias("kept"))
 
 
 def exact_duplicates(docs: DataFrame, **options) -> DataFrame:
