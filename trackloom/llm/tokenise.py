@@ -9,11 +9,14 @@ chunks already seen, so only new chunks pay for the merge loop.
 
 from __future__ import annotations
 
+import re
+from array import array
+
 import numpy as np
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 #: Entries of each memo generation and longest chunk that is kept: bounds a worker's memory.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 250_000
 MEMO_CHARS = 48
 
 
@@ -23,6 +26,14 @@ def vocabulary_path(name: str = WORD_VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: The pre-tokeniser's pieces of an ASCII chunk without apostrophes: words, single digits, runs of signs.
+_ASCII_PIECES = re.compile(r"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+").findall
+_SEVERAL = re.compile(r"[A-Za-z][^A-Za-z]|[^A-Za-z][A-Za-z]|[0-9].|.[0-9]", re.S).search
+
+
+_NO_SPACE = "\x1c\x1d\x1e\x1f"
+
+
 class _Memo(dict):
     """chunk -> its ids as little-endian uint32 bytes; the older half goes when full."""
 
@@ -51,20 +62,26 @@ class WordTokeniser:
         tok = Tokenizer.from_file(path)
         self._whole = tok
         self._norm, self._pre, self._model = tok.normalizer, tok.pre_tokenizer, tok.model
-        self._memo = _Memo(self._encode)
+        self._memo, self._pieces = _Memo(self._encode), _Memo(self._merge)
 
     def _encode(self, chunk: str) -> bytes:
-        if chunk.isascii() and chunk.isalpha():
-            pieces = [chunk.lower()]
-        else:
-            pieces = [p for p, _ in self._pre.pre_tokenize_str(self._norm.normalize_str(chunk))]
-        return np.array([t.id for p in pieces for t in self._model.tokenize(p)], "<u4").tobytes()
+        """A chunk's ids: those of its pieces, which have memo entries of their own."""
+        if not chunk.isascii() or "'" in chunk or not chunk.isprintable():
+            return b"".join(map(self._pieces.__getitem__, [p for p, _ in self._pre.pre_tokenize_str(self._norm.normalize_str(chunk))]))
+        if chunk.isalpha():
+            # an ASCII word is one piece
+            return self._pieces[chunk.lower()]
+        return b"".join(map(self._memo.__getitem__, _ASCII_PIECES(chunk))) if _SEVERAL(chunk) else self._pieces[chunk.lower()]
+
+    def _merge(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self._model.tokenize(piece)]).tobytes()
 
     def encode_bytes(self, text: str | None) -> bytes:
         """Ids of the whole text as little-endian uint32 bytes; null and empty text: no ids."""
         if not text:
             return b""
-        if "<|" in text:  # may hold a special token's string, which the library finds first
+        if "<|" in text or any(c in text for c in _NO_SPACE):
+            # a special token's string is found first; and str.split takes these controls for white space
             return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self._memo.__getitem__, text.split()))
 
