@@ -10,6 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sizes import broadcast_if_small
 from ..functions.windows import by_value, ordered
 from .geometry import coordinate_columns
 from .kinematics import lag_frames
@@ -35,7 +36,7 @@ def dilate_labels(dt: DataFrame, meta: DataFrame, lag_sec: float, values: list[i
     w = ordered(PAIR, ["video_frame", "action"])
     labelled = (F.col("action") != NOTHING).cast("int")
     near = by_value(F.col("kf"), ks, lambda k: F.max(labelled).over(w.rowsBetween(-k, k)) == 1)
-    return dt.join(F.broadcast(dim), "video_id", "left").withColumn("near_label", F.coalesce(near, F.lit(False)))
+    return dt.join(broadcast_if_small(dim), "video_id", "left").withColumn("near_label", F.coalesce(near, F.lit(False)))
 
 
 def augment_coordinates(dt: DataFrame, seed: int = 0, noise: float = 0.02) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import platt, sigmoid
+from ..functions.sizes import broadcast_if_small
 
 
 def fit_platt(scores: DataFrame, by: Sequence[str] = ("action",), steps: int = 25) -> DataFrame:
@@ -24,7 +25,7 @@ def fit_platt(scores: DataFrame, by: Sequence[str] = ("action",), steps: int = 2
     for _ in range(steps):
         p = sigmoid(F.col("a") * F.col("x") + F.col("b"))
         r, h = F.col("y") - p, p * (1 - p)
-        sums = rows.join(F.broadcast(params), by).groupBy(*by, "prior", "both", "a", "b").agg(
+        sums = rows.join(broadcast_if_small(params), by).groupBy(*by, "prior", "both", "a", "b").agg(
             F.sum(r).alias("gb"), F.sum(r * F.col("x")).alias("ga"), F.sum(h).alias("hbb"), F.sum(h * F.col("x")).alias("hab"), F.sum(h * F.col("x") * F.col("x")).alias("haa")
         )
         det = F.col("haa") * F.col("hbb") - F.col("hab") * F.col("hab")
@@ -45,7 +46,7 @@ def fit_platt(scores: DataFrame, by: Sequence[str] = ("action",), steps: int = 2
 
 def apply_platt(scores: DataFrame, params: DataFrame, by: Sequence[str] = ("action",)) -> DataFrame:
     """Adds ``calibrated``: log-odds relative to the action's prior. Parameters are one row per group."""
-    joined = scores.join(F.broadcast(params), list(by), "left")
+    joined = scores.join(broadcast_if_small(params), list(by), "left")
     return joined.withColumn("calibrated", platt(F.col("score"), F.col("a"), F.col("b"), F.col("prior"))).select(*scores.columns, "calibrated")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hypot, row_mean, safe_max
+from ..functions.sizes import broadcast_if_small
 
 # Parts of the body halves.
 UPPER = (
@@ -30,7 +31,7 @@ def coordinate_columns(columns: Sequence[str]) -> list[str]:
 def normalize_xy(dt: DataFrame, meta: DataFrame) -> DataFrame:
     """Pixels to centimetres by each recording's scale."""
     scale = meta.select("video_id", F.col("pix_per_cm_approx").cast("double").alias("__scale"))
-    out = dt.join(F.broadcast(scale), "video_id", "left")
+    out = dt.join(broadcast_if_small(scale), "video_id", "left")
     return out.withColumns({c: F.try_divide(F.col(c).cast("double"), F.col("__scale")) for c in coordinate_columns(dt.columns)}).select(dt.columns)
 
 

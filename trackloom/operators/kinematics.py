@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import half_even, hypot, safe_max, wrap_angle
+from ..functions.sizes import broadcast_if_small
 from ..functions.windows import centred, distinct_values, lagged, ordered, trailing
 from .geometry import agent_frame, body_geometry, ear_gap, reference_length
 
@@ -42,7 +43,7 @@ class Lags:
         self.values = list(values) if values is not None else distinct_values(dim, "kf")
         self.window = ordered(by, ["video_frame"])
         self.k = F.col("kf")
-        self.table = dt.join(F.broadcast(dim), "video_id", "left")
+        self.table = dt.join(broadcast_if_small(dim), "video_id", "left")
 
     def lag(self, c: Column, times: int = 1) -> Column:
         return lagged(c, self.k, self.values, self.window, times)

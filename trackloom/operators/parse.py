@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import half_even, mouse_name
+from ..functions.sizes import broadcast_if_small
 
 
 def _mouse_number(name: Column, row: Column) -> Column:
@@ -29,7 +30,7 @@ def shared_bodyparts(meta: DataFrame) -> DataFrame:
     rows = meta.select("lab_id", "video_id", part.alias("bodypart")).distinct()
     videos = meta.groupBy("lab_id").agg(F.count_distinct("video_id").alias("videos"))
     each = rows.groupBy("lab_id", "bodypart").agg(F.count(F.lit(1)).alias("n"))
-    return each.join(F.broadcast(videos), "lab_id").where("n = videos").groupBy("lab_id").agg(F.array_sort(F.collect_list("bodypart")).alias("bodyparts"))
+    return each.join(broadcast_if_small(videos), "lab_id").where("n = videos").groupBy("lab_id").agg(F.array_sort(F.collect_list("bodypart")).alias("bodyparts"))
 
 
 def action_durations(annotations: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import mouse_name
+from ..functions.sizes import broadcast_if_small
 from ..functions.windows import distinct_values, full_centred_mean, ordered, run_number
 
 PAIR = ["video_id", "agent_id", "target_id"]
@@ -24,7 +25,7 @@ def smooth_scores(preds: DataFrame, roll_frames: int | float | DataFrame | None)
     else:
         dim = roll_frames.select("lab_id", "action", F.floor(F.col("roll_frames") / 2).cast("int").alias("__half"))
         values = distinct_values(dim, "__half")
-        half, rows = F.col("__half"), preds.join(F.broadcast(dim), ["lab_id", "action"], "left")
+        half, rows = F.col("__half"), preds.join(broadcast_if_small(dim), ["lab_id", "action"], "left")
     mean = full_centred_mean(F.col("score"), half, values, ordered([*PAIR, "action"], ["video_frame"]))
     score = F.coalesce(mean.cast("float"), F.col("score")) if values else F.col("score")
     return rows.withColumn("score", score).select(preds.columns)
@@ -37,7 +38,7 @@ def above_threshold(preds: DataFrame, threshold: float | DataFrame | None) -> Da
     if isinstance(threshold, (int, float)):
         return preds.where(F.col("score") > F.lit(float(threshold)).cast("float"))
     keys = [c for c in ("lab_id", "action") if c in threshold.columns]
-    return preds.join(F.broadcast(threshold.select(*keys, "z_thr")), keys, "left").where("score > z_thr").select(preds.columns)
+    return preds.join(broadcast_if_small(threshold.select(*keys, "z_thr")), keys, "left").where("score > z_thr").select(preds.columns)
 
 
 def argmax_frames(preds: DataFrame, threshold: float | DataFrame | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.sizes import broadcast_if_small
 from ..functions.windows import ordered, run_number
 from .spine import NOTHING, PAIR
 
@@ -105,7 +106,7 @@ def sample_unlabelled(rows: DataFrame, percent: float | None, seed: int) -> Data
 
 def fold_rows(spine: DataFrame, whitelist: DataFrame, folds: DataFrame, fold: int, action: str, neg_percent: float | None, unl_percent: float | None, seed: int) -> dict[str, DataFrame]:
     """Training rows (negatives sampled by class) and validation rows (all) of one fold."""
-    own = F.broadcast(folds.where(F.col("fold") == fold).select("video_id", "role"))
+    own = broadcast_if_small(folds.where(F.col("fold") == fold).select("video_id", "role"))
     rows = negative_classes(spine, whitelist, action).withColumn("video_id", F.col("video_id").cast("string")).join(own, "video_id")
     train = rows.where("role = 'train'")
     parts = [train.where("neg_class = 'positive'"), sample_by_video(train.where("neg_class = 'real'"), neg_percent, seed), sample_by_video(train.where("neg_class = 'maybe'"), unl_percent, seed)]
@@ -115,7 +116,7 @@ def fold_rows(spine: DataFrame, whitelist: DataFrame, folds: DataFrame, fold: in
 def augmented_train_only(train: DataFrame, valid: DataFrame) -> DataFrame:
     """Training rows without augmented copies of validation recordings."""
     seen = valid.select("video_id").distinct().withColumn("__seen", F.lit(True))
-    return train.join(F.broadcast(seen), "video_id", "left").where(~(F.col("aug") & F.coalesce("__seen", F.lit(False)))).select(train.columns)
+    return train.join(broadcast_if_small(seen), "video_id", "left").where(~(F.col("aug") & F.coalesce("__seen", F.lit(False)))).select(train.columns)
 
 
 def run_weights(rows: DataFrame, action: str) -> DataFrame:

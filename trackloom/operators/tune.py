@@ -8,6 +8,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from ..functions.sizes import broadcast_if_small
 
 from .post import PAIR, argmax_frames, get_intervals, islands, smooth_scores
 from .score import fbeta_stats
@@ -23,7 +24,7 @@ def candidates(preds: DataFrame, z_grid: Sequence[float], by: list[str]) -> Data
 
 def _surviving(preds: DataFrame, z: DataFrame, by: list[str]) -> DataFrame:
     """Rows at every candidate below their score. ``z`` has at most one row per group and grid value."""
-    return preds.join(F.broadcast(z), by).where("score > z")
+    return preds.join(broadcast_if_small(z), by).where("score > z")
 
 
 def _best(tried: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -66,7 +67,7 @@ def tune_per_lab(preds: DataFrame, solution: DataFrame, z_grid: Sequence[float])
 def fit_thresholds(preds: DataFrame, solution: DataFrame, roll_frames: Any, z_grid: Sequence[float], per_lab: bool) -> DataFrame:
     """Smooth, then tune; laboratories without a solution are left out."""
     smooth = smooth_scores(preds.withColumn("score", F.col("score").cast("float")), roll_frames)
-    smooth = smooth.join(F.broadcast(solution.select("lab_id").distinct()), "lab_id", "left_semi")
+    smooth = smooth.join(broadcast_if_small(solution.select("lab_id").distinct()), "lab_id", "left_semi")
     return (tune_per_lab if per_lab else tune_per_action)(smooth, solution, z_grid)
 
 

@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from ..functions.sizes import broadcast_if_small
 
 META = "lab_id string, video_id string, frames_per_second float, pix_per_cm_approx float, body_parts_tracked string, behaviors_labeled string"
 ANNOTATION = "agent_id int, target_id int, action string, start_frame int, stop_frame int"
@@ -42,7 +43,7 @@ def read_annotations(spark: SparkSession, folder: str, meta: DataFrame) -> DataF
     """Parquet annotations under ``folder`` with recording (file stem) and laboratory."""
     rows = spark.read.schema(ANNOTATION).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(folder)
     rows = rows.select(file_stem().alias("video_id"), "*").where(~F.col("action").isin(*DROPPED_ACTIONS))
-    return rows.join(F.broadcast(meta.select("video_id", "lab_id")), "video_id", "left")
+    return rows.join(broadcast_if_small(meta.select("video_id", "lab_id")), "video_id", "left")
 
 
 def read_tracks(spark: SparkSession, folder: str, lab: str, bodyparts: Sequence[str] | None = None, frames: DataFrame | None = None, videos: Sequence[str] | None = None) -> DataFrame:
