@@ -10,7 +10,7 @@ LIMIT_BYTES = 64 << 20
 
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate; no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def broadcast_if_small(df: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
