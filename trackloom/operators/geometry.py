@@ -89,4 +89,4 @@ def pair_distances(dt: DataFrame, bodyparts: Sequence[str], ids: Sequence[str],
 
     own = [squared(r, a, r, b, tag) for r, tag in (("ag", "m1m1"), ("tg", "m2m2")) for a, b in combinations(has[r], 2)]
     cross = [squared("ag", a, "tg", b, "m1m2") for a in has["ag"] for b in has["tg"]]
-    return dt.select(*ids, *own, *cross)
+    return dt.select(*[F.col(f"`{i}`") for i in ids], *own, *cross)

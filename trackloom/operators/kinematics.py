@@ -69,9 +69,9 @@ def add_lag_structure(dt: DataFrame, meta: DataFrame, lag_sec: float, by: Sequen
     return Lags(dt, meta, lag_sec, by, values).masks()
 
 
-def pair_invariants(dt: DataFrame, meta: DataFrame, *, lag_sec: float, norm_by: str | None = None, values: Sequence[int] | None = None) -> DataFrame:
-    """The 25 pair features in the agent's frame."""
-    ids = [*PAIR_TRACK, "video_frame", *(["action"] if "action" in dt.columns else [])]
+def pair_invariants(dt: DataFrame, meta: DataFrame, *, lag_sec: float, norm_by: str | None = None, values: Sequence[int] | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """The 25 pair features in the agent's frame; columns named in ``carry`` pass along."""
+    ids = [*PAIR_TRACK, "video_frame", *(["action"] if "action" in dt.columns else []), *(f"`{x}`" for x in carry)]
     c = F.col
     t = body_geometry(body_geometry(dt, "ag"), "tg").withColumn("ref", reference_length(norm_by, "ag_body_len", PAIR_TRACK))
     to_center = agent_frame(c("tg_x_center") - c("ag_x_center"), c("tg_y_center") - c("ag_y_center"), c("ag_unit_x"), c("ag_unit_y"))
@@ -178,7 +178,12 @@ def single_mouse(dt: DataFrame, meta: DataFrame, *, lag_sec: float, norm_by: str
     """Kinematics of agent (ag_) and target (tg_), computed once per mouse and joined twice."""
     ids = [*PAIR_TRACK, "video_frame", *(["action"] if "action" in dt.columns else [])]
     own = mouse_kinematics(mouse_tracks(dt), meta, lag_sec=lag_sec, norm_by=norm_by, values=values)
-    out = dt.select(*ids)
+    return join_mouse_features(dt.select(*ids), own)
+
+
+def join_mouse_features(out: DataFrame, own: DataFrame) -> DataFrame:
+    """``out`` with its agent's and its target's rows of ``own``."""
+    ids = [f"`{x}`" for x in out.columns]
     for role, me in (("ag", "agent_id"), ("tg", "target_id")):
         named = own.select("aug", "video_id", F.col("mouse_id").alias(me), "video_frame", *[F.col(f).alias(f"{role}_{f}") for f in MOUSE_FEATURES])
         out = out.join(named, ["aug", "video_id", me, "video_frame"], "left")
@@ -199,4 +204,4 @@ def lag_window_stats(dt: DataFrame, meta: DataFrame, columns: Sequence[str], *,
         for n in range(1, num_windows + 1):
             value = F.col(f"__{x}") if n == 1 else lags.lag(F.col(f"__{x}"), n - 1)
             out[f"{x}_lagw{n}_mean"] = F.when(F.col(f"ok{n}"), value) if n <= 3 else value
-    return t.withColumns(out).select(*dt.columns, *out)
+    return t.withColumns(out).select(*[F.col(f"`{x}`") for x in dt.columns], *out)

@@ -13,6 +13,11 @@ PAIR = ["video_id", "agent_id", "target_id"]
 BACKGROUND = ("unlabeled", "Nothing")
 
 
+def by_pair(preds: DataFrame) -> DataFrame:
+    """One exchange by pair, which smoothing, argmax and islands all accept as it is."""
+    return preds.repartition(*PAIR)
+
+
 def smooth_scores(preds: DataFrame, roll_frames: int | float | DataFrame | None) -> DataFrame:
     """Centred rolling mean per pair and action, by position; rows without a full window keep their score.
 

@@ -38,10 +38,11 @@ def build_dataset(tracks: DataFrame, labels: DataFrame, meta: DataFrame, whiteli
     dt = augment.add_augmented_blocks(dt, meta, p.lag_sec, p.seed, ks) if p.augment else dt.withColumn("aug", F.lit(False))
     keys = [*kinematics.PAIR_TRACK, "video_frame", "action"]
     options = {"lag_sec": p.lag_sec, "norm_by": p.norm_by, "values": ks}
-    blocks = [kinematics.single_mouse(dt, meta, **options), kinematics.pair_invariants(dt, meta, **options), geometry.pair_distances(dt, p.bodyparts, keys, p.bp_set)]
-    out = blocks[0]
-    for b in blocks[1:]:
-        out = out.join(b, keys)
+    # distances ride along the invariants' lineage; only the mice's own tracks come back by joins
+    apart = geometry.pair_distances(dt, p.bodyparts, dt.columns, p.bp_set)
+    distances = [c for c in apart.columns if c not in dt.columns]
+    own = kinematics.mouse_kinematics(kinematics.mouse_tracks(dt), meta, **options)
+    out = kinematics.join_mouse_features(kinematics.pair_invariants(apart, meta, **options, carry=distances), own)
     if p.window_cols:
         out = kinematics.lag_window_stats(out, meta, p.window_cols, lag_sec=p.lag_sec, num_windows=p.num_windows, values=ks)
     out = out.where(~F.col("aug") | (F.col("action") != spine.NOTHING))

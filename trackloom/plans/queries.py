@@ -22,7 +22,7 @@ def six(df: DataFrame, *names: str) -> DataFrame:
 
 
 def intervals(s: SparkSession, d: str) -> DataFrame:
-    return post.get_intervals(post.argmax_frames(post.smooth_scores(fx.scores(s, d), 3), 10.0))
+    return post.get_intervals(post.argmax_frames(post.smooth_scores(post.by_pair(fx.scores(s, d)), 3), 10.0))
 
 
 def smooth_scores(s: SparkSession, d: str) -> DataFrame:
