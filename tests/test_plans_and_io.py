@@ -26,7 +26,7 @@ def test_argmax_is_a_group_limit_and_islands_take_one_exchange(spark):
 
 def test_one_exchange_serves_smoothing_argmax_and_islands(spark):
     rows = spark.read.parquet(f"{SF}/events.parquet").selectExpr("0 lab_id", "cast(user_id as int) video_id", "1 agent_id", "1 target_id", "event_type action", "cast(event_id as int) video_frame", "cast(value as float) score")
-    text = plan(post.get_intervals(post.argmax_frames(post.smooth_scores(post.by_pair(rows), 5), 1.0)))
+    text = plan(post.get_intervals(post.argmax_frames(post.smooth_scores(post.by_recording(rows), 5), 1.0)))
     assert text.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_COL" in text
 
 

@@ -13,9 +13,9 @@ PAIR = ["video_id", "agent_id", "target_id"]
 BACKGROUND = ("unlabeled", "Nothing")
 
 
-def by_pair(preds: DataFrame) -> DataFrame:
-    """One exchange by pair, which smoothing, argmax and islands all accept as it is."""
-    return preds.repartition(*PAIR)
+def by_recording(preds: DataFrame) -> DataFrame:
+    """One exchange by recording, which smoothing, argmax and islands all accept as it is."""
+    return preds.repartition("video_id")
 
 
 def smooth_scores(preds: DataFrame, roll_frames: int | float | DataFrame | None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from ..functions.sizes import broadcast_if_small
 
-from .post import PAIR, argmax_frames, by_pair, get_intervals, islands, smooth_scores
+from .post import PAIR, argmax_frames, by_recording, get_intervals, islands, smooth_scores
 from .score import fbeta_stats
 
 
@@ -86,7 +86,7 @@ def prepare_submit(
     if thresholds is None and z_grid is not None:
         per_lab = not preds.where("action = 'Nothing'").isEmpty()
         thresholds = fit_thresholds(preds, solution, roll_frames, z_grid, per_lab).drop("score")
-    return get_intervals(argmax_frames(smooth_scores(by_pair(preds), roll_frames), thresholds)), thresholds
+    return get_intervals(argmax_frames(smooth_scores(by_recording(preds), roll_frames), thresholds)), thresholds
 
 
 def window_grid(columns: Sequence[Sequence[str]]) -> list[dict]:

@@ -22,7 +22,7 @@ def six(df: DataFrame, *names: str) -> DataFrame:
 
 
 def intervals(s: SparkSession, d: str) -> DataFrame:
-    return post.get_intervals(post.argmax_frames(post.smooth_scores(post.by_pair(fx.scores(s, d)), 3), 10.0))
+    return post.get_intervals(post.argmax_frames(post.smooth_scores(post.by_recording(fx.scores(s, d)), 3), 10.0))
 
 
 def smooth_scores(s: SparkSession, d: str) -> DataFrame:
@@ -200,8 +200,8 @@ def neg_classes(s: SparkSession, d: str) -> DataFrame:
 def sample_counts(s: SparkSession, d: str) -> DataFrame:
     rows = fx.labelled_spine(s, d)
     by_video = sampling.sample_by_video(rows, 30, 1).groupBy("video_id").agg(F.count(F.lit(1)).alias("n_video"))
-    by_pair = sampling.sample_unlabelled(rows, 0, 1).groupBy("video_id").agg(F.count(F.lit(1)).alias("n_pair"))
-    return rows.select("video_id").distinct().join(by_video, "video_id", "left").join(by_pair, "video_id", "left").fillna(0)
+    by_recording = sampling.sample_unlabelled(rows, 0, 1).groupBy("video_id").agg(F.count(F.lit(1)).alias("n_pair"))
+    return rows.select("video_id").distinct().join(by_video, "video_id", "left").join(by_recording, "video_id", "left").fillna(0)
 
 
 def fold_membership(s: SparkSession, d: str) -> DataFrame:
