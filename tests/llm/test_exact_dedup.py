@@ -7,7 +7,7 @@ from trackloom.llm import lsm_dedup
 
 from .helpers import AWKWARD, documents
 
-ROWS = [*AWKWARD, *((100 + i, f"text {i % 7}") for i in range(50)), *((None, "text 3") for _ in range(2))]
+ROWS = [*AWKWARD, *((100 + i, f"text {i % 7}") for i in range(50)), *((None, "text 3") for _ in range(2)), (-(2**63), "text 1"), (2**63 - 1, "text 2")]
 
 
 def expected(rows, keep):

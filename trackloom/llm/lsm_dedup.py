@@ -58,9 +58,10 @@ class DigestIndex:
 
     def _stays(self) -> Column:
         """Aggregate: (id, row) of the row that stays."""
-        sign = 1 if self.keep == "largest" else -1
-        best = F.max(F.struct((F.col("doc_id") * sign).alias("i"), (-F.col("row_no")).alias("r")))
-        return F.struct((best["i"] * sign).alias("keep_id"), (-best["r"]).alias("keep_row")).alias("stays")
+        # bitwise not turns the order of all longs around, without overflow
+        turned = (lambda c: c) if self.keep == "largest" else F.bitwise_not
+        best = F.max(F.struct(turned(F.col("doc_id")).alias("i"), F.bitwise_not("row_no").alias("r")))
+        return F.struct(turned(best["i"]).alias("keep_id"), F.bitwise_not(best["r"]).alias("keep_row")).alias("stays")
 
     def compact(self, runs: DataFrame, level: int = 1) -> DataFrame:
         merged = runs.groupBy("digest").agg(self._stays(), F.count(F.lit(1)).alias("group_size")).select("digest", "stays.keep_id", "stays.keep_row", "group_size")
