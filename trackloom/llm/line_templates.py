@@ -18,6 +18,8 @@ empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +29,11 @@ FILTER_BITS = 1 << 24
 VARIABLE = "<*>"
 
 
-def _masked(line: Column) -> Column:
-    masked = F.regexp_replace(line, r"\S*[0-9]\S*", VARIABLE)
-    return F.when(line.rlike("[0-9]"), masked).otherwise(line)
+def _normalised(raw: Column) -> Column:
+    """Tokens apart by single spaces, those with a digit masked. Most lines need neither regular expression."""
+    loose = reduce(Column.__or__, [F.contains(raw, F.lit(x)) for x in ("  ", "\t", "\r", "\x0b", "\f")])
+    line = F.trim(F.when(loose, F.regexp_replace(raw, r"\s+", " ")).otherwise(raw))
+    return F.when(raw.rlike("[0-9]"), F.regexp_replace(line, r"\S*[0-9]\S*", VARIABLE)).otherwise(line)
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -38,11 +42,12 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """(doc, pos, tokens, leaf, line): leaf and line are 64-bit hashes, used together."""
+    """(doc, pos, text, leaf, line): leaf and line are 64-bit hashes, used together."""
     rows = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    rows = rows.select("doc", "pos", F.split(_masked(F.trim(F.regexp_replace("raw", r"\s+", " "))), " ").alias("tokens")).where(F.size("tokens") >= min_tokens)
-    leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth))
-    return rows.select("doc", "pos", "tokens", leaf.alias("leaf"), F.xxhash64("tokens").alias("line"))
+    rows = rows.select("doc", "pos", _normalised(F.col("raw")).alias("text"))
+    n = F.octet_length("text") - F.octet_length(F.replace("text", F.lit(" "), F.lit(""))) + 1
+    leaf = F.xxhash64("n", F.substring_index("text", " ", depth))
+    return rows.withColumn("n", n).where(F.col("n") >= min_tokens).select("doc", "pos", "text", leaf.alias("leaf"), F.xxhash64("text").alias("line"))
 
 
 def _bit(*columns: str) -> Column:
@@ -52,8 +57,9 @@ def _bit(*columns: str) -> Column:
 def generalise(lines: DataFrame, distinct: DataFrame, depth: int, similarity: float) -> DataFrame:
     """(leaf, line, constant, n_constant) of lines that take their leaf's generalised template."""
     shared = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leaf")
-    near = probe_bitmap(lines.select("leaf", "line", "tokens"), _bit("leaf"), bitmap(shared, _bit("leaf"))).where("in_bitmap")
-    several = materialise(near.groupBy("leaf", "line").agg(F.first("tokens").alias("tokens")).join(shared, "leaf", "left_semi"), "leaf-lines")
+    near = probe_bitmap(lines.select("leaf", "line", "text"), _bit("leaf"), bitmap(shared, _bit("leaf"))).where("in_bitmap")
+    several = materialise(near.groupBy("leaf", "line").agg(F.first("text").alias("text")).join(shared, "leaf", "left_semi"), "leaf-lines")
+    several = several.select("leaf", "line", F.split("text", " ").alias("tokens"))
     tokens = several.select("leaf", "line", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token")).withColumn("token", F.xxhash64("token"))
     constant = tokens.groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1").drop("seen")
     held = tokens.join(constant, ["leaf", "at", "token"], "left_semi")
