@@ -16,7 +16,7 @@ import numpy as np
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 #: Entries of each memo generation and longest chunk that is kept: bounds a worker's memory.
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 200_000
 MEMO_CHARS = 48
 
 
@@ -28,9 +28,6 @@ def vocabulary_path(name: str = WORD_VOCABULARY) -> str:
 
 #: The pre-tokeniser's pieces of an ASCII chunk without apostrophes: words, single digits, runs of signs.
 _ASCII_PIECES = re.compile(r"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+").findall
-_SEVERAL = re.compile(r"[A-Za-z][^A-Za-z]|[^A-Za-z][A-Za-z]|[0-9].|.[0-9]", re.S).search
-
-
 _NO_SPACE = "\x1c\x1d\x1e\x1f"
 
 
@@ -70,8 +67,10 @@ class WordTokeniser:
             return b"".join(map(self._pieces.__getitem__, [p for p, _ in self._pre.pre_tokenize_str(self._norm.normalize_str(chunk))]))
         if chunk.isalpha():
             # an ASCII word is one piece
-            return self._pieces[chunk.lower()]
-        return b"".join(map(self._memo.__getitem__, _ASCII_PIECES(chunk))) if _SEVERAL(chunk) else self._pieces[chunk.lower()]
+            low = chunk.lower()
+            return self._merge(chunk) if low == chunk else self._memo[low]
+        parts = _ASCII_PIECES(chunk)
+        return b"".join(map(self._memo.__getitem__, parts)) if len(parts) > 1 else self._merge(chunk)
 
     def _merge(self, piece: str) -> bytes:
         return array("I", [t.id for t in self._model.tokenize(piece)]).tobytes()
