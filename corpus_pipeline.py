@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import decontamination, harmonic_packing, language_id, line_templates, simhash_bk
+from trackloom.llm import decontamination, harmonic_packing, jaccard, language_id, line_templates
 from trackloom.llm.common import materialise, read_table
 
 #: A document stays if its language is known with at least this probability.
@@ -32,12 +32,12 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Op 6: of each group of near-duplicates the document of the smallest id stays.
+    """Of each group of near-duplicates (5-word Jaccard similarity of 0.8 or more) the document of the smallest id stays.
 
     Documents without an id belong to no group and stay.
     """
     named = docs.where("doc_id is not null")
-    kept = simhash_bk.near_duplicates(named).where("doc_id = component_id").select("doc_id").distinct()
+    kept = jaccard.near_duplicates(named).groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(docs.columns)
 
 
