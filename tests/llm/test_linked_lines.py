@@ -1,0 +1,41 @@
+import random
+
+import corpus_pipeline as cp
+import pytest
+
+from trackloom.llm import line_templates as lt
+
+from .helpers import documents
+from .test_lines_and_leaks import corpus, slow_repeats
+from .test_simhash import components
+
+
+@pytest.mark.parametrize("names, cities", [(10, 1), (10, 10), (100, 100)])
+def test_a_template_of_two_fields_collapses_at_any_size(spark, names, cities):
+    """``names`` x ``cities`` lines; with one city each name has its own."""
+    word = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    pairs = [(n, c if cities > 1 else n) for n in range(names) for c in range(cities)]
+    docs = documents(spark, [(k, f"This page was written by N{word(n)} for the C{word(c)} office") for k, (n, c) in enumerate(pairs)])
+    assert [r["doc_id"] for r in cp.line_stage(spark, docs, "").select("doc_id").collect()] == [0]
+
+
+def test_linked_lines_equal_brute_force(spark):
+    rng = random.Random(4)
+    words = [f"w{chr(97 + k)}" for k in range(4)]
+    rows = [(d, " ".join(["one", "two", "three"] + [rng.choice(words) for _ in range(rng.choice((2, 5, 8)))])) for d in range(150)] + corpus()[60:]
+    lines = {}
+    for d, t in rows:
+        for raw in (t or "").split("\n"):
+            if len(tokens := tuple(raw.split())) >= 5:
+                lines.setdefault(tokens, []).append(d)
+    keys = list(lines)
+    near = lambda a, b: len(a) == len(b) and a[:3] == b[:3] and 5 * sum(x != y for x, y in zip(a, b)) <= len(a)
+    part = components([(i, j) for i, a in enumerate(keys) for j in range(i) if near(a, keys[j])], range(len(keys)))
+    docs = {}
+    for i, k in enumerate(keys):
+        docs.setdefault(part[i], set()).update(lines[k])
+    order = lambda x: (x is not None, x)
+    want = {(d, k) for i, k in enumerate(keys) for d in lines[k] if d != min(docs[part[i]], key=order)}
+    got = lt.drop_repeated_lines(documents(spark, rows), linked=True, counts=("n", "dropped"))
+    assert {r["doc_id"]: r["dropped"] for r in got.where("dropped > 0").collect()} == {d: sum(x == d for x, _ in want) for d, _ in want}
+    assert set(slow_repeats(rows)) <= {d for d, _ in want}

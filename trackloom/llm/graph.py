@@ -6,7 +6,9 @@ folder; the edge set shrinks to stars. Only a count and a checksum reach the dri
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -42,3 +44,30 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         seen = mark
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+def band_links(bands: DataFrame, near: Callable[[DataFrame], DataFrame], *, where: str = "true", pivots: int = 16) -> DataFrame:
+    """Edges (a, b) between nodes whose components are those of all near pairs that share a band.
+
+    bands: (key, node, n), one row per band and node; ``near`` keeps the linked ones of pairs (a, b), and pairs that
+    fail ``where`` (over n and p_n) are not asked about. A band's nodes meet ``pivots`` of their own at a time, those of
+    its smallest components first, and only while it holds several components: a group of n linked nodes
+    takes a small multiple of n comparisons. Each further round takes four times as many pivots.
+    """
+    edges = materialise(bands.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false"), "edges")
+    bands = bands.select("key", "node", "n", F.col("node").alias("component"))
+    while True:
+        by_key = Window.partitionBy("key")
+        several = bands.withColumns({"lo": F.min("component").over(by_key), "hi": F.max("component").over(by_key)}).where("lo != hi").drop("lo", "hi")
+        sized = several.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key", "component")))
+        ranked = materialise(sized.withColumn("rank", F.row_number().over(by_key.orderBy("size", "node"))).drop("size"), "ranked")
+        if ranked.isEmpty():
+            return edges
+        p = ranked.where(F.col("rank") <= pivots).select("key", *[F.col(c).alias(f"p_{c}") for c in ("node", "n", "component", "rank")])
+        met = ranked.join(p, "key").where(f"rank > p_rank and component != p_component and {where}")
+        pairs = met.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
+        edges = materialise(edges.unionByName(near(pairs)), "edges")
+        left = ranked.where(F.col("rank") > pivots).select("key", "node", "n")
+        parts = connected_components(edges)
+        bands = left.join(parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+        pivots *= 4

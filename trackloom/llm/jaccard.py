@@ -8,9 +8,8 @@ Texts of equal set collapse first. Candidates come from MinHash: ``BANDS`` bands
 at 0.8 shares no band with a probability of (1 - 0.8**5)**50 = 2.4e-9. Every candidate is then judged by its
 whole sets; sets are written once and only candidates' sets are shuffled.
 
-A band's texts are compared with a few pivots at a time, those of its smallest components first, and only
-while it holds several components: a group of n near copies takes a small multiple of n comparisons, and no
-pair of a band is left out unless both ends are connected already.
+Texts of a band are compared by :func:`.graph.band_links`, which leaves out no pair of a band unless both
+ends are connected already.
 
 Defined results: texts of fewer words than a shingle are one shingle; null and empty texts have the empty set and
 equal each other only; an empty table gives an empty result.
@@ -25,11 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bitmap, map_text, materialise, probe_bitmap
-from .graph import connected_components
+from .graph import band_links, connected_components
 
 BANDS, ROWS, SEED = 50, 5, 42
 FILTER_BITS = 1 << 24
-#: Pivots of a band in the first round; each further round takes four times as many.
+#: Pivots of a band in the first round.
 PIVOTS = 16
 
 _RNG = np.random.default_rng(SEED)
@@ -83,28 +82,14 @@ def links(sketches: DataFrame) -> DataFrame:
     bands = materialise(shared, "bands")
     probed = probe_bitmap(sketches.select("node", "hashes"), _bit("node"), bitmap(bands.select("node").distinct(), _bit("node")))
     sets = materialise(probed.where("in_bitmap").groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
-    edges = materialise(bands.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false"), "edges")
-    pivots, bands = PIVOTS, bands.withColumn("component", F.col("node"))
-    while True:
-        by_key = Window.partitionBy("key")
-        # bands of one component have nothing left to find
-        several = bands.withColumns({"lo": F.min("component").over(by_key), "hi": F.max("component").over(by_key)}).where("lo != hi").drop("lo", "hi")
-        sized = several.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key", "component")))
-        ranked = materialise(sized.withColumn("rank", F.row_number().over(by_key.orderBy("size", "node"))).drop("size"), "ranked")
-        if ranked.isEmpty():
-            return edges
-        p = ranked.where(F.col("rank") <= pivots).select("key", *[F.col(c).alias(f"p_{c}") for c in ("node", "n", "component", "rank")])
-        met = ranked.join(p, "key").where("rank > p_rank and component != p_component and 5 * least(n, p_n) >= 4 * greatest(n, p_n)")
-        pairs = met.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
+
+    def near(pairs: DataFrame) -> DataFrame:
         one, two = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"{c}_set")) for c in "ab")
         both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("a_set", "b_set")))
         # common / (|a| + |b| - common) >= 4 / 5, in whole numbers
-        near = both.where(9 * F.col("common") >= 4 * (F.size("a_set") + F.size("b_set"))).select("a", "b")
-        edges = materialise(edges.unionByName(near), "edges")
-        left = ranked.where(F.col("rank") > pivots).select("key", "node", "n")
-        parts = connected_components(edges)
-        bands = left.join(parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-        pivots *= 4
+        return both.where(9 * F.col("common") >= 4 * (F.size("a_set") + F.size("b_set"))).select("a", "b")
+
+    return band_links(bands, near, where="5 * least(n, p_n) >= 4 * greatest(n, p_n)", pivots=PIVOTS)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:

@@ -7,6 +7,12 @@ variable field. A line takes the leaf's generalised template if ``similarity`` o
 constant, else its own masked text is its template. The result depends on no order of arrival, so every
 step is a grouped aggregate with map-side combine and a hot line is one row per task.
 
+With ``linked`` the leaf's lines share a template instead if they are connected by pairs that differ in at most
+1 - ``similarity`` of their places. That needs no count that a leaf can outgrow: the values of two variable fields
+recur as data grow, and the rule above then takes them for constants. Whatever the rule above joins,
+this one joins too. Lines that differ in k places at most agree in one of k + 1 segments of their places
+after the leading ones, so no pair is lost. The op 2 query keeps the rule above, which is that of its SQL.
+
 A template recurs if it occurs in two documents or more. Its lines stay in the first of them (smallest
 id, then text hash) and are dropped from all others. Lines of fewer than ``min_tokens`` tokens are never
 templates: such lines coincide by chance.
@@ -24,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bitmap, materialise, probe_bitmap
+from .graph import band_links, connected_components
 
 FILTER_BITS = 1 << 24
 VARIABLE = "<*>"
@@ -54,12 +61,17 @@ def _bit(*columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
 
 
-def generalise(lines: DataFrame, distinct: DataFrame, depth: int, similarity: float) -> DataFrame:
-    """(leaf, line, constant, n_constant) of lines that take their leaf's generalised template."""
+def _leaf_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(leaf, line, tokens) of the lines of leaves with several different ones."""
     shared = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leaf")
     near = probe_bitmap(lines.select("leaf", "line", "text"), _bit("leaf"), bitmap(shared, _bit("leaf"))).where("in_bitmap")
     several = materialise(near.groupBy("leaf", "line").agg(F.first("text").alias("text")).join(shared, "leaf", "left_semi"), "leaf-lines")
-    several = several.select("leaf", "line", F.split("text", " ").alias("tokens"))
+    return several.select("leaf", "line", F.split("text", " ").alias("tokens"))
+
+
+def generalise(lines: DataFrame, distinct: DataFrame, depth: int, similarity: float) -> DataFrame:
+    """(leaf, line, constant, n_constant) of lines that take their leaf's generalised template."""
+    several = _leaf_lines(lines, distinct)
     tokens = several.select("leaf", "line", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token")).withColumn("token", F.xxhash64("token"))
     constant = tokens.groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1").drop("seen")
     held = tokens.join(constant, ["leaf", "at", "token"], "left_semi")
@@ -67,12 +79,35 @@ def generalise(lines: DataFrame, distinct: DataFrame, depth: int, similarity: fl
     return made.where(F.col("n_constant") >= F.col("n") * similarity).select("leaf", "line", "constant", "n_constant")
 
 
-def find_repeats(docs: DataFrame, *, depth: int = 3, min_tokens: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link_lines(lines: DataFrame, distinct: DataFrame, depth: int, similarity: float) -> DataFrame:
+    """As :func:`generalise`, by linked lines: ``constant`` names a group of them."""
+    several = _leaf_lines(lines, distinct)
+    n = F.size("tokens")
+    differ = F.floor(n * (1 - similarity) + 1e-9).cast("int")
+    parts, rest = differ + 1, F.greatest(n - depth, F.lit(0))
+    cut = lambda j: depth + F.floor(j * rest / parts).cast("int")
+    segment = lambda j: F.xxhash64("leaf", j, F.slice("tokens", cut(j) + 1, cut(j + 1) - cut(j)))
+    rows = several.select(F.col("line").alias("node"), n.alias("n"), F.explode(F.transform(F.sequence(F.lit(0), differ), segment)).alias("key"))
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("key")
+    bands = materialise(rows.join(shared, "key", "left_semi").select("key", "node", "n"), "line-bands")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        one, two = (several.select(F.col("line").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in "ab")
+        other = F.size(F.filter(F.zip_with("a_tokens", "b_tokens", lambda x, y: x != y), lambda x: x))
+        both = pairs.join(one, "a").join(two, "b")
+        return both.where(other <= F.floor(F.size("a_tokens") * (1 - similarity) + 1e-9)).select("a", "b")
+
+    groups = connected_components(band_links(bands, near))
+    named = several.select("leaf", "line").join(groups, F.col("line") == F.col("node"))
+    return named.select("leaf", "line", F.col("component").alias("constant"), F.lit(0).cast("long").alias("n_constant"))
+
+
+def find_repeats(docs: DataFrame, *, depth: int = 3, min_tokens: int = 5, similarity: float = 0.8, linked: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, drops): documents with the positions of their lines to drop."""
     lines = _lines(_documents(docs, id_col, text_col), depth, min_tokens)
     found = materialise(lines.select("doc", "pos", "leaf", "line"), "lines")
     distinct = materialise(found.groupBy("leaf", "line").agg(F.min("doc").alias("first"), F.max("doc").alias("last")), "distinct-lines")
-    general = generalise(lines, distinct, depth, similarity)
+    general = (link_lines if linked else generalise)(lines, distinct, depth, similarity)
     named = distinct.join(general, ["leaf", "line"], "left").select(
         "leaf",
         "line",
