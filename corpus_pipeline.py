@@ -24,7 +24,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Op 2: recurring lines go from all but their first document, and documents of which nothing is left."""
-    found = line_templates.drop_repeated_lines(docs, linked=True, counts=("__n_lines", "__n_dropped"))
+    found = line_templates.drop_repeated_lines(docs, linked=True, short=True, counts=("__n_lines", "__n_dropped"))
     left = found.where((F.col("__n_dropped") == 0) | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(F.col("__n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

@@ -39,3 +39,11 @@ def test_linked_lines_equal_brute_force(spark):
     got = lt.drop_repeated_lines(documents(spark, rows), linked=True, counts=("n", "dropped"))
     assert {r["doc_id"]: r["dropped"] for r in got.where("dropped > 0").collect()} == {d: sum(x == d for x, _ in want) for d, _ in want}
     assert set(slow_repeats(rows)) <= {d for d, _ in want}
+
+
+def test_short_lines_recur_by_their_own_text(spark):
+    han = "本网站所有内容均受版权保护未经许可不得转载或使用第{}版"
+    lines = ["Les.", "All rights reserved.", "Page {} of 20", han, "", "7{}", "x"]
+    rows = [(d, "\n".join(x.format(d) for x in lines) + f"\nown{chr(97 + d)}") for d in range(4)]
+    got = {r["doc_id"]: r["text"] for r in cp.line_stage(spark, documents(spark, rows), "").collect()}
+    assert got == {d: t if d == 0 else f"\n7{d}\nown{chr(97 + d)}" for d, t in rows}

@@ -14,8 +14,10 @@ this one joins too. Lines that differ in k places at most agree in one of k + 1
 after the leading ones, so no pair is lost. The op 2 query keeps the rule above, which is that of its SQL.
 
 A template recurs if it occurs in two documents or more. Its lines stay in the first of them (smallest
-id, then text hash) and are dropped from all others. Lines of fewer than ``min_tokens`` tokens are never
-templates: such lines coincide by chance.
+id, then text hash) and are dropped from all others. Lines of fewer than ``min_tokens`` tokens are
+left alone, or with ``short`` have their own masked text as template, without generalising. Where the mask leaves no
+letter the template is the text itself, so that different numbers stay apart; of such lines those of ``MIN_CHARS``
+characters or more (scripts without spaces) have just their digits masked. Blank lines are never templates.
 
 Rows of equal id and text are one document. Defined results: null text stays null, empty text
 stays empty, both without dropped lines; a null id sorts before all others; an empty table gives an
@@ -34,6 +36,7 @@ from .graph import band_links, connected_components
 
 FILTER_BITS = 1 << 24
 VARIABLE = "<*>"
+MIN_CHARS = 20
 
 
 def _normalised(raw: Column) -> Column:
@@ -48,13 +51,26 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h")).alias("doc"), text.alias("text"))
 
 
-def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """(doc, pos, text, leaf, line): leaf and line are 64-bit hashes, used together."""
+def _short(raw: Column, text: Column) -> Column:
+    """The template of a short line: its masked text, or what it says where the mask leaves no letter."""
+    exact = F.trim(F.regexp_replace(raw, r"\s+", " "))
+    own = F.when(exact.rlike(r"\p{L}") & (F.length(exact) >= MIN_CHARS), F.regexp_replace(exact, "[0-9]+", VARIABLE)).otherwise(exact)
+    return F.when(text.rlike(r"\p{L}"), text).otherwise(own)
+
+
+def _lines(docs: DataFrame, depth: int, min_tokens: int, short: bool = False) -> DataFrame:
+    """(doc, pos, text, leaf, line, long): leaf and line are 64-bit hashes, used together."""
     rows = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    rows = rows.select("doc", "pos", _normalised(F.col("raw")).alias("text"))
+    rows = rows.select("doc", "pos", *(["raw"] if short else []), _normalised(F.col("raw")).alias("text"))
     n = F.octet_length("text") - F.octet_length(F.replace("text", F.lit(" "), F.lit(""))) + 1
     leaf = F.xxhash64("n", F.substring_index("text", " ", depth))
-    return rows.withColumn("n", n).where(F.col("n") >= min_tokens).select("doc", "pos", "text", leaf.alias("leaf"), F.xxhash64("text").alias("line"))
+    long = F.col("n") >= min_tokens
+    rows = rows.withColumn("n", n)
+    if short:
+        rows = rows.where(long | (F.col("text") != "")).withColumn("text", F.when(long, F.col("text")).otherwise(_short(F.col("raw"), F.col("text"))))
+    else:
+        rows = rows.where(long)
+    return rows.select("doc", "pos", "text", leaf.alias("leaf"), F.xxhash64("text").alias("line"), long.alias("long"))
 
 
 def _bit(*columns: str) -> Column:
@@ -102,12 +118,12 @@ def link_lines(lines: DataFrame, distinct: DataFrame, depth: int, similarity: fl
     return named.select("leaf", "line", F.col("component").alias("constant"), F.lit(0).cast("long").alias("n_constant"))
 
 
-def find_repeats(docs: DataFrame, *, depth: int = 3, min_tokens: int = 5, similarity: float = 0.8, linked: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_repeats(docs: DataFrame, *, depth: int = 3, min_tokens: int = 5, similarity: float = 0.8, linked: bool = False, short: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, drops): documents with the positions of their lines to drop."""
-    lines = _lines(_documents(docs, id_col, text_col), depth, min_tokens)
-    found = materialise(lines.select("doc", "pos", "leaf", "line"), "lines")
-    distinct = materialise(found.groupBy("leaf", "line").agg(F.min("doc").alias("first"), F.max("doc").alias("last")), "distinct-lines")
-    general = (link_lines if linked else generalise)(lines, distinct, depth, similarity)
+    lines = _lines(_documents(docs, id_col, text_col), depth, min_tokens, short)
+    found = materialise(lines.select("doc", "pos", "leaf", "line", "long"), "lines")
+    distinct = materialise(found.groupBy("leaf", "line", "long").agg(F.min("doc").alias("first"), F.max("doc").alias("last")), "distinct-lines")
+    general = (link_lines if linked else generalise)(lines.where("long"), distinct.where("long"), depth, similarity)
     named = distinct.join(general, ["leaf", "line"], "left").select(
         "leaf",
         "line",
