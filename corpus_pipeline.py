@@ -32,13 +32,15 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (5-word Jaccard similarity of 0.8 or more) the document of the smallest id stays.
+    """Of each group of near-duplicates (5-word Jaccard similarity of 0.8 or more) one document stays.
 
-    Documents without an id belong to no group and stay.
+    That is the one of the smallest (id, text hash); documents without an id come after all others.
     """
-    named = docs.where("doc_id is not null")
-    kept = jaccard.near_duplicates(named).groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(docs.columns)
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    kept = jaccard.near_duplicates(docs).groupBy("component").agg(F.min(first).alias("first")).select("first.__id", "first.__hash").distinct()
+    hashed = docs.withColumn("__text_hash", F.xxhash64(F.col("text").cast("string")))
+    chosen = hashed.join(kept, hashed["doc_id"].eqNullSafe(kept["__id"]) & (hashed["__text_hash"] == kept["__hash"]), "left_semi")
+    return chosen.dropDuplicates(["doc_id", "__text_hash"]).select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,3 +50,10 @@ def test_few_pivots_lose_no_link(spark, monkeypatch):
     for d, c in groups(rows).items():
         want.setdefault(c, set()).add(d)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_repeated_and_null_ids_lose_no_text(spark):
+    say = lambda w: " ".join(f"{w}{k}" for k in range(30))
+    rows = [(1, say("a")), (1, say("b")), (1, say("a")), (2, say("b")), (None, say("c")), (None, say("c")), (None, say("a"))]
+    got = [(r["doc_id"], r["text"]) for r in cp.near_duplicate_stage(spark, documents(spark, rows), "").collect()]
+    assert sorted(got, key=str) == sorted([(1, say("a")), (1, say("b")), (None, say("c"))], key=str)
