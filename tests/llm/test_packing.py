@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -6,6 +7,7 @@ from tokenizers import Tokenizer
 
 from trackloom.llm import harmonic_packing as hp
 from trackloom.llm import token_packing as tp
+from trackloom.llm import tokenise
 from trackloom.llm.tokenise import WordTokeniser, vocabulary_path
 
 from .helpers import AWKWARD, documents
@@ -110,3 +112,17 @@ def test_matrices_rebuild_every_document(spark, block):
             assert [x for _, p in sorted(parts[doc]) for x in p] == reference(text)
     assert len(parts[6]) == 2
     assert tp.pack_token_ids(documents(spark, [])).count() == 0
+
+
+def test_slices_and_long_texts_are_whole(monkeypatch):
+    monkeypatch.setattr(tokenise, "SLICE_BYTES", 64)
+    texts = ["", None, "Don't stop, ÀÉÎ × ÷ naïve! 12,5 " * 20, "x" * 300, "a b " * 100, " ", "Ünïcode Ωmega é <|endoftext|>", "and,and;AND"]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["d", "t"])
+    got = list(tokenise.encode_batches(iter([batch, batch.slice(2, 3)]), vocabulary_path(), 1))
+    assert [(k, ids.tolist()) for k, ids in got] == [(k, reference(texts[k])) for k in [*range(len(texts)), 2, 3, 4]]
+
+
+def test_ids_keep_their_type(spark):
+    docs = spark.createDataFrame([("a", "one two"), (None, "three")], "doc_id string, text string")
+    assert {r["doc_id"] for r in hp.harmonic_pack(docs).collect()} == {"a", None}
+    assert {d for r in tp.pack_token_ids(docs).collect() for d in r["doc_ids"]} == {"a", None}

@@ -7,13 +7,16 @@ with an open sequence" in O(log C). Overlong documents are cut losslessly at the
 capacity; only their last piece competes for room. Nothing is shuffled, the block bound
 caps memory, and a lost task repeats with the same result.
 
+A very long text is tokenised in parts, but its ids are held as a whole (four bytes each) while it is cut.
+
 Output: one row per sequence, i.e. one row of the id matrix. ``ids`` holds C
 little-endian uint32 ids (padding at the end), ``cu_seqlens`` the cumulative segment
 lengths from 0, ``position_ids`` restart at 0 with every segment, ``doc_ids`` and
 ``doc_starts`` say where each segment came from, so documents can be rebuilt.
 
 Defined results: null and empty texts hold just the end id; repeated rows are packed as
-rows of their own; a null doc_id stays null; an empty table gives no sequences.
+rows of their own; ids keep their type and a null one stays null; other columns are not read,
+whatever their names; an empty table gives no sequences.
 """
 
 from __future__ import annotations
@@ -21,16 +24,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .tokenise import encode_batches, vocabulary_path
 
-from .tokenise import vocabulary_path, word_tokeniser
+BEFORE_IDS = "sequence_id long, n_tokens int, n_segments int"
+AFTER_IDS = "doc_starts array<long>, cu_seqlens array<int>, ids binary, position_ids binary"
 
-SEQUENCES = (
-    "sequence_id long, n_tokens int, n_segments int, doc_ids array<long>, doc_starts array<long>, cu_seqlens array<int>, ids binary, position_ids binary"
-)
+
+def sequence_type(id_type: T.DataType) -> T.StructType:
+    ids = T.StructField("doc_ids", T.ArrayType(id_type))
+    return T.StructType([*T.StructType.fromDDL(BEFORE_IDS), ids, *T.StructType.fromDDL(AFTER_IDS)])
 
 
 class CapacityTree:
@@ -100,41 +108,46 @@ def pack_token_ids(
     text_col: str = "text",
 ) -> DataFrame:
     path = tokenizer or vocabulary_path()
+    rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).cast("string").alias("t"))
+    schema = sequence_type(rows.schema["d"].dataType)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok = word_tokeniser(path)
-        end = np.array([end_id], "<u4").tobytes()
+        out = to_arrow_schema(schema)
         following = TaskContext.get().partitionId() << 40
         pieces: list[tuple] = []
         held = 0
-        for pdf in batches:
-            for doc, text in zip(pdf["d"].array, pdf["t"].array, strict=True):
-                ids = np.frombuffer((tok.encode_bytes(text) if isinstance(text, str) else b"") + end, "<u4")
-                doc = None if pd.isna(doc) else int(doc)
-                for s in range(0, len(ids), capacity):
-                    pieces.append((doc, s, ids[s : s + capacity]))
-                    held += len(pieces[-1][2])
-                    if held >= block_tokens:
-                        yield from _matrix(pieces, capacity, pad_id, following)
-                        following += len(pieces)
-                        pieces, held = [], 0
+        for doc, ids in encode_batches(batches, path, end_id):
+            for s in range(0, len(ids), capacity):
+                # a copy, so that a piece does not keep its whole slice
+                pieces.append((doc, s, ids[s : s + capacity].copy()))
+                held += len(pieces[-1][2])
+                if held >= block_tokens:
+                    yield from _matrix(pieces, capacity, pad_id, following, out)
+                    following += len(pieces)
+                    pieces, held = [], 0
         if pieces:
-            yield from _matrix(pieces, capacity, pad_id, following)
+            yield from _matrix(pieces, capacity, pad_id, following, out)
 
-    return docs.select(F.col(id_col).cast("string").alias("d"), F.col(text_col).cast("string").alias("t")).mapInPandas(pack, SEQUENCES)
+    return rows.mapInArrow(pack, schema)
 
 
-def _matrix(pieces: list[tuple], capacity: int, pad_id: int, first: int, rows: int = 256) -> Iterator[pd.DataFrame]:
+def _matrix(pieces: list[tuple], capacity: int, pad_id: int, first: int, schema: pa.Schema, rows: int = 256) -> Iterator[pa.RecordBatch]:
     packed = best_fit_decreasing([len(p[2]) for p in pieces], capacity)
     for at in range(0, len(packed), rows):
-        out = []
-        for k, items in enumerate(packed[at : at + rows], at):
-            ids, pos = np.full(capacity, pad_id, "<u4"), np.zeros(capacity, "<u4")
+        some = packed[at : at + rows]
+        ids, pos = np.full((len(some), capacity), pad_id, "<u4"), np.zeros((len(some), capacity), "<u4")
+        docs, starts, bounds = [], [], []
+        for k, items in enumerate(some):
             cu = [0]
             for i in items:
                 seg = pieces[i][2]
-                ids[cu[-1] : cu[-1] + len(seg)] = seg
-                pos[cu[-1] : cu[-1] + len(seg)] = np.arange(len(seg))
+                ids[k, cu[-1] : cu[-1] + len(seg)] = seg
+                pos[k, cu[-1] : cu[-1] + len(seg)] = np.arange(len(seg))
                 cu.append(cu[-1] + len(seg))
-            out.append((first + k, cu[-1], len(items), [pieces[i][0] for i in items], [pieces[i][1] for i in items], cu, ids.tobytes(), pos.tobytes()))
-        yield pd.DataFrame(out, columns=["sequence_id", "n_tokens", "n_segments", "doc_ids", "doc_starts", "cu_seqlens", "ids", "position_ids"])
+            docs.append([pieces[i][0] for i in items])
+            starts.append([pieces[i][1] for i in items])
+            bounds.append(cu)
+        columns = [range(first + at, first + at + len(some)), [c[-1] for c in bounds], [len(d) for d in docs], docs, starts, bounds, [x.tobytes() for x in ids], [x.tobytes() for x in pos]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
