@@ -30,10 +30,25 @@ def order(rows):
 
 
 def test_round_trip(spark):
-    got = sorted(cf.read_back(turns(spark)).collect(), key=lambda r: ((r["conv_id"] is not None, r["conv_id"]), r["turn_no"]))
-    want = order(ROWS)
-    assert [(r["conv_id"], r["role"], r["text"]) for r in got] == [(c, role or "", text or "") for c, _, role, text in want]
-    assert [r["trained"] for r in got] == [(text or "") if role == "assistant" else None for _, _, role, text in want]
+    """Turns and trained replies, read back from the segments and from the examples' ranges."""
+    table = turns(spark)
+    whole = cf.conversations(table, cf.expand_examples(table))
+    read = whole.select("conv_id", F.transform("segments", cf.read_turn).alias("turns"), "examples", cf.read_losses(F.col("segments"), F.col("examples")).alias("losses"))
+    got = {r["conv_id"]: r for r in read.collect()}
+    assert set(got) == {r[0] for r in ROWS}
+    for conv, r in got.items():
+        want = [(role or "", text or "") for c, _, role, text in order(ROWS) if c == conv]
+        assert [(t["role"], t["text"]) for t in r["turns"]] == want
+        assert r["losses"] == [text for role, text in want if role == "assistant"]
+        assert [e["target_turn"] for e in r["examples"]] == [k for k, (role, _) in enumerate(want) if role == "assistant"]
+
+
+def test_the_query_loses_what_an_example_loses(spark):
+    """Without an example its reply is missing from the losses: they come from the examples alone."""
+    table = turns(spark)
+    fewer = cf.expand_examples(table).where("target_turn != 2")
+    one = cf.conversations(table, fewer).where("conv_id = 1")
+    assert one.select(cf.read_losses(F.col("segments"), F.col("examples"))).first()[0] == [""]
 
 
 def test_control_strings_are_the_templates_alone(spark):

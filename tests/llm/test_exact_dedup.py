@@ -1,9 +1,11 @@
 import hashlib
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from trackloom.llm import lsm_dedup
+from trackloom.llm.common import Scratch, work_root
 
 from .helpers import AWKWARD, documents
 
@@ -43,4 +45,29 @@ def test_digest_is_the_texts_sha256(spark):
 def test_empty_table_and_wrong_option(spark):
     assert lsm_dedup.exact_duplicates(documents(spark, [])).count() == 0
     with pytest.raises(ValueError):
-        lsm_dedup.DigestIndex(documents(spark, []), keep="any")
+        lsm_dedup.exact_duplicates(documents(spark, []), keep="any")
+
+
+def test_batches_merge_through_levels(spark):
+    """Five batches: two merges to level 1, one to level 2; lookups go through filters of runs on two levels."""
+    batches = [[("a", 5, 50), ("b", 1, 10)], [("a", 3, 30)], [("a", 4, 40), ("c", 9, 90)], [("d", 7, 70)], [("b", 2, 20), ("e", None, 99)]]
+    frames = [spark.createDataFrame([(d.encode(), i, r) for d, i, r in b], "digest binary, doc_id long, row_no long") for b in batches]
+    with Scratch(spark, "test") as scratch:
+        index = lsm_dedup.DigestIndex(spark, scratch)
+        shapes = []
+        for frame in frames:
+            index.add(frame)
+            shapes.append([len(level) for level in index.levels])
+        assert shapes == [[1], [0, 1], [1, 1], [0, 0, 1], [1, 0, 1]]
+        wanted = spark.createDataFrame([(x.encode(),) for x in "abezz"], "digest binary")
+        got = {bytes(r["digest"]).decode(): (r["keep_id"], r["keep_row"], r["group_size"]) for r in index.lookup(wanted).collect()}
+        assert got == {"a": (3, 30, 3), "b": (1, 10, 2), "e": (None, 99, 1)}
+        assert index.compact_all().count() == 5 and [len(level) for level in index.levels] == [1]
+        assert lsm_dedup.DigestIndex(spark, scratch).lookup(wanted).count() == 0
+
+
+def test_scratch_tables_go(spark):
+    root = work_root(spark).removeprefix("file://")
+    before = set(os.listdir(root))
+    assert lsm_dedup.exact_duplicates(documents(spark, ROWS)).count() == len(ROWS)
+    assert [x.split("-")[1] for x in set(os.listdir(root)) - before] == ["groups"]

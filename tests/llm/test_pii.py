@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 from trackloom.llm import pii
 
@@ -64,3 +66,34 @@ def test_masking_and_empty_table(spark):
     got = {r["doc_id"]: r["text"] for r in pii.mask_pii(documents(spark, ROWS)).collect()}
     assert got[107] == "\U0001f600 café [EMAIL] \U0001f600 [PHONE]" and got[1] == ""
     assert pii.find_pii(documents(spark, [])).count() == 0
+
+
+def plain_score(kind, text, start, end):
+    base, checked, near = pii.SCORES[kind]
+    around = text[max(0, start - 40) : start] + " " + text[end : end + 40]
+    return round(min(1.0, base + checked + (near if re.search(pii.CONTEXT[kind], around) else 0.0)), 6)
+
+
+def test_many_matches_in_one_long_text(spark):
+    """Positions, context and masking of 200,000 matches; spans of one kind by the plain pattern."""
+    rng = random.Random(3)
+    parts = [rng.choice(["1.2.3.4 ", "host 9.8.7.6 ", "é\U0001f600 ", "no 300.1.1.1 ", "call +1 (988) 555-2485, ", "word " * 9]) for _ in range(40_000)]
+    rows = [(1, "1.2.3.4 " * 200_000), (2, "".join(parts)), (3, "".join(parts[:70]))]
+    begun = time.monotonic()
+    got = {r["doc_id"]: r for r in pii.find_pii(documents(spark, rows)).collect()}
+    assert time.monotonic() - begun < 60
+    assert [s["start"] for s in got[1]["ip"]] == list(range(0, 1_600_000, 8))
+    for doc in (2, 3):
+        text = dict(rows)[doc]
+        for kind in ("ip", "phone"):
+            want = [(*m.span(), plain_score(kind, text, *m.span())) for m in re.finditer(BASE[kind], text) if holds(kind, m[0])]
+            assert [(s["start"], s["end"], s["score"]) for s in got[doc][kind]] == want
+    masked = {r["doc_id"]: r["text"] for r in pii.mask_pii(documents(spark, rows)).collect()}
+    assert masked[1] == "[IP] " * 200_000
+    for doc in (2, 3):
+        text, at, out = dict(rows)[doc], 0, []
+        for s, e, k in sorted((s["start"], s["end"], s["kind"]) for k in pii.PATTERNS for s in got[doc][k]):
+            if s >= at:
+                out.append(text[at:s] + f"[{k.upper()}]")
+            at = max(at, e)
+        assert masked[doc] == "".join(out) + text[at:]

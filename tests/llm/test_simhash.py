@@ -1,11 +1,13 @@
 import random
 
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from trackloom.llm import graph
 from trackloom.llm import simhash_bk as sb
+from trackloom.llm.common import Scratch
 
 from .helpers import AWKWARD, documents
 
@@ -60,11 +62,53 @@ def test_links_lose_no_pair(spark):
             values.add(b % (1 << 64))
     values = sorted(values | {0, (1 << 64) - 1})
     signed = {v: v - (1 << 64) if v >> 63 else v for v in values}
-    edges = sb.links(spark.createDataFrame([(signed[v],) for v in values], "fp long")).collect()
     nodes = list(signed.values())
     want = components([(signed[a], signed[b]) for i, a in enumerate(values) for b in values[:i] if (a ^ b).bit_count() <= 3], nodes)
-    assert components([(r["a"], r["b"]) for r in edges], nodes) == want
-    assert len(edges) <= 16 * len(values)
+    frame = spark.createDataFrame([(signed[v],) for v in values], "fp long")
+    for most in (1 << 14, 40, 1):
+        with Scratch(spark, "test") as scratch:
+            edges = sb.links(frame, scratch, most=most).collect()
+        assert components([(r["a"], r["b"]) for r in edges], nodes) == want
+        assert len(edges) <= 20 * len(values)
+
+
+@pytest.mark.parametrize("tree", [1, 16])
+def test_longer_keys_lose_no_pair(spark, monkeypatch, tree):
+    """Shards of a few fingerprints each, as if there were billions: keys of blocks and parts."""
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(60)]
+    values = sorted({(b ^ sum(1 << at for at in rng.sample(range(64), k))) - (1 << 63) for b in base for k in range(5)})
+    monkeypatch.setattr(sb, "key_bits", lambda n: (16, 12 // tree))
+    with Scratch(spark, "test") as scratch:
+        edges = sb.links(spark.createDataFrame([(v,) for v in values], "fp long"), scratch).collect()
+    bits = {v: v % (1 << 64) for v in values}
+    want = components([(a, b) for i, a in enumerate(values) for b in values[:i] if (bits[a] ^ bits[b]).bit_count() <= 3], values)
+    assert components([(r["a"], r["b"]) for r in edges], values) == want
+
+
+def test_trees_do_the_searching(spark):
+    """Shards hold many fingerprints whatever their number, and a search reads a part of its tree."""
+    assert sb.key_bits(100) == (0, 0) and sb.key_bits(20_000) == (6, 0) and sb.key_bits(1 << 40) == (16, 12)
+    rng = random.Random(7)
+    values = [rng.getrandbits(64) for _ in range(20_000)]
+    frame = spark.createDataFrame([(v - (1 << 63),) for v in values], "fp long")
+    with Scratch(spark, "test") as scratch:
+        sizes = [r["count"] for r in sb.shards(frame, scratch).groupBy("key").count().collect()]
+    assert sum(sizes) == 4 * len(values) and min(sizes) > 200
+    tree = sb.BKTree()
+    for v in values[:300]:
+        tree.add(v)
+    visited = []
+    for v in values[:100]:
+        seen = 0
+        todo = [0]
+        while todo:
+            at = todo.pop()
+            seen += 1
+            d = (tree.values[at] ^ v).bit_count()
+            todo += [c for e, c in tree.children[at].items() if abs(e - d) <= 3]
+        visited.append(seen)
+    assert sum(visited) / len(visited) < 0.6 * 300
 
 
 def test_components_of_chains_and_stars(spark):

@@ -14,7 +14,8 @@ any character.
 
 Defined results: turns go by (turn, role, text), nulls first, repeated rows stay; null role and
 null text count as empty; a conversation without assistant turns has no example; rows with a
-null conv_id form one conversation; an empty table gives empty outputs.
+null conv_id form one conversation; very long texts are escaped whole; other columns are not read, whatever their
+names; an empty table gives empty outputs.
 """
 
 from __future__ import annotations
@@ -81,16 +82,32 @@ def materialise_examples(turns: DataFrame) -> DataFrame:
     )
 
 
-def read_back(turns: DataFrame) -> DataFrame:
-    """Role, text and trained text of every turn, parsed from the formatted segments and loss ranges alone."""
-    inner = F.expr(f"substring(segment, {len(OPEN) + 1}, length(segment) - {len(OPEN) + len(CLOSE)})")
+def conversations(turns: DataFrame, examples: DataFrame) -> DataFrame:
+    """One row per conversation: conv_id, its segments in order, and its examples (those of :func:`expand_examples`) in order.
+
+    Both sides keep the partitioning by conversation that :func:`format_turns` made, so nothing is shuffled again. A
+    conversation's text is in one row here; :func:`format_turns` and :func:`expand_examples` do without.
+    """
+    order = lambda rows, field: F.transform(F.array_sort(F.collect_list(rows)), lambda r: r[field])
+    texts = turns.groupBy("conv_id").agg(order(F.struct("turn_no", "segment"), "segment").alias("segments"))
+    ranges = F.struct("target_turn", "context_end", "end", "loss_start", "loss_end")
+    made = examples.groupBy("conv_id").agg(F.array_sort(F.collect_list(ranges)).alias("examples")).withColumnRenamed("conv_id", "of")
+    return texts.join(made, F.col("conv_id").eqNullSafe(F.col("of")), "left").select("conv_id", "segments", F.coalesce("examples", F.array()).alias("examples"))
+
+
+def read_turn(segment: Column) -> Column:
+    """Role and text of a formatted segment."""
+    inner = F.substr(segment, F.lit(len(OPEN) + 1), F.length(segment) - (len(OPEN) + len(CLOSE)))
     cut = F.instr(inner, ROLE_END)
-    loss = F.substr(F.col("segment"), (F.col("loss_start") - F.col("seg_start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int"))
-    return turns.select(
-        "conv_id",
-        "turn_no",
-        unescape(F.substr(inner, F.lit(1), cut - 1)).alias("role"),
-        unescape(F.substr(inner, cut + len(ROLE_END))).alias("text"),
-        unescape(loss).alias("trained"),
-        F.length("segment").alias("chars"),
-    )
+    return F.struct(unescape(F.substr(inner, F.lit(1), cut - 1)).alias("role"), unescape(F.substr(inner, cut + len(ROLE_END))).alias("text"))
+
+
+def read_losses(segments: Column, examples: Column) -> Column:
+    """The trained text of every example, unescaped: its loss range, cut out of the segment that follows its context."""
+
+    def trained(e: Column) -> Column:
+        # a code point of the range is found from its segment's start, not the conversation's
+        target = F.get(segments, e["target_turn"])
+        return unescape(F.substr(target, (e["loss_start"] - e["context_end"] + 1).cast("int"), (e["loss_end"] - e["loss_start"]).cast("int")))
+
+    return F.transform(examples, trained)

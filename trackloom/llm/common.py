@@ -12,15 +12,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: A key that holds more than one row in so many counts as hot: fewer keys than this can.
+HOT_SHARE = 1000
+_SPACES = " \n\t\r\x0b\x0c"
+
 
 def work_root(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests on one machine) a temporary one is made.
+    Where the session names none, a local master gets a temporary one; a cluster has no such folder, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root is None:
-        root = "file://" + tempfile.mkdtemp(prefix="trackloom-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='trackloom-')}"
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -30,12 +36,50 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{work_root(spark)}/trackloom-{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = work_path(spark, label)
+def _write(df: DataFrame, path: str, options: dict[str, str] | None = None) -> DataFrame:
     df.write.options(**(options or {})).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+    return _write(df, work_path(df.sparkSession, label))
+
+
+class Scratch:
+    """Tables of one computation in the shared folder; they go when its block ends."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.root, self.count = spark, work_path(spark, label), 0
+
+    def table(self, df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
+        self.count += 1
+        return _write(df, f"{self.root}/{self.count}-{label}", options)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread_join(rows: DataFrame, dims: DataFrame, on: list[str], held: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the one row of ``dims`` that their key has; ``held`` counts the rows of each key.
+
+    Hot keys (over one row in ``HOT_SHARE``: fewer keys than that) are broadcast, and their rows stay where they are. All
+    other rows meet by a shuffle in which no key holds more than that share. ``dims`` is read for its counts first.
+    """
+    total, most = dims.agg(F.sum(held), F.max(held)).first()
+    if not total or most * HOT_SHARE <= total:
+        return rows.join(dims, on, how)
+    is_hot = F.col(held) * HOT_SHARE > total
+    hot = F.broadcast(dims.where(is_hot).withColumn("__hot", F.lit(True)))
+    cold = dims.where(~is_hot)
+    met = rows.join(hot, on, "left")
+    near = met.where("__hot").drop("__hot")
+    far = met.where("__hot is null").select(*[F.col(f"`{c}`") for c in rows.columns])
+    return near.unionByName(far.join(cold, on, how))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -43,6 +87,37 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
+def salted_join(rows: DataFrame, dims: DataFrame, on: str, scratch: Scratch, per_salt: int = 2000) -> DataFrame:
+    """``rows`` with the one row of ``dims`` that their key has, however large that row is.
+
+    A key of many rows is dealt to several tasks, ``per_salt`` rows each, and its row of ``dims`` is copied to them.
+    """
+    counts = scratch.table(rows.groupBy(on).agg(F.count(F.lit(1)).alias("__held")).withColumn("__salts", F.ceil(F.col("__held") / per_salt).cast("int")), "salts")
+    dealt = spread_join(rows, counts, [on], "__held").withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.col("__salts")).cast("int"))
+    copies = dims.join(counts, on).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__held", "__salts")
+    return dealt.drop("__held", "__salts").join(copies, [on, "__salt"]).drop("__salt")
+
+
+def hash_share(hashed: Column) -> Column:
+    """A 64-bit hash as a number from 0 to 1."""
+    return F.shiftrightunsigned(hashed, 11) / F.lit(float(1 << 53))
+
+
+def cut_text(text: str, size: int) -> list[str]:
+    """A long text in parts of about ``size`` characters, cut where an ASCII white space stands."""
+    parts, at = [], 0
+    while len(text) - at > size:
+        stop = max(text.rfind(c, at, at + size) for c in _SPACES)
+        if stop <= at:
+            ahead = [x for x in (text.find(c, at + size) for c in _SPACES) if x >= 0]
+            if not ahead:
+                break
+            stop = min(ahead)
+        parts.append(text[at:stop])
+        at = stop
+    return [*parts, text[at:]]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # Python workers that start elsewhere find this package where the driver program has it
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))

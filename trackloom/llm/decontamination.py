@@ -1,8 +1,9 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Test items and documents are normalised alike (lower case, runs of other than letters and digits become
-one space). An item of n characters with an error budget of e edits is cut into e + 1 pieces: wherever it
-occurs with at most e edits, one piece occurs unchanged. All pieces of a block of items form one
+one space). An item of n characters has an error budget of e = floor(n * ``error_rate``) edits, whatever its length, and is
+cut into e + 1 pieces (of six characters or more at the rate of 0.08): wherever it occurs with at most e edits, one
+piece occurs unchanged. All pieces of a block of items form one
 Aho-Corasick automaton; a piece hit gives the window where the item would lie, and Myers' bit-parallel
 algorithm finds the least edit distance of the item to any substring of that window.
 
@@ -10,8 +11,9 @@ Items are the stated query set: they are read in blocks of bounded text (``block
 in turn, and documents are scanned where they lie, without a shuffle.
 
 Defined results: null and empty documents match nothing; items without a letter or digit are no test;
-repeated items count once; repeated documents are scanned as rows of their own; an empty table on either
-side gives no match.
+repeated items count once, and of several texts under one item id the nearest; item ids keep their type; repeated
+documents are scanned as rows of their own; very long texts are scanned whole, in memory that is a multiple of their length;
+a column that clashes with an inner name is carried through untouched; an empty table on either side gives no match.
 """
 
 from __future__ import annotations
@@ -31,9 +33,9 @@ def normalise(text: str | None) -> str:
     return _OTHER.sub(" ", text.lower()).strip() if text else ""
 
 
-def budget(n: int, error_rate: float, min_piece: int) -> int:
-    """Edits allowed for an item of n characters: pieces never get shorter than ``min_piece``."""
-    return max(0, min(int(n * error_rate), n // min_piece - 1))
+def budget(n: int, error_rate: float) -> int:
+    """Edits allowed for an item of n characters."""
+    return int(n * error_rate)
 
 
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:
@@ -76,13 +78,13 @@ def myers(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
 class ItemMatcher:
     """Automaton over the pieces of a block of items (id, text)."""
 
-    def __init__(self, items: list[tuple], error_rate: float, min_piece: int):
+    def __init__(self, items: list[tuple], error_rate: float):
         import ahocorasick
 
         self.items = []
         by_piece: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in sorted({(i, normalise(t)) for i, t in items if normalise(t)}, key=lambda x: (x[0] is None, x)):
-            e = budget(len(text), error_rate, min_piece)
+            e = budget(len(text), error_rate)
             for offset, piece in pieces(text, e):
                 by_piece.setdefault(piece, []).append((len(self.items), offset + len(piece)))
             self.items.append((item_id, text, e, pattern_masks(text)))
@@ -142,7 +144,6 @@ def find_contamination(
     benchmark: DataFrame,
     *,
     error_rate: float = 0.08,
-    min_piece: int = 12,
     block_chars: int = 4_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -151,12 +152,13 @@ def find_contamination(
 ) -> DataFrame:
     """(doc_id, item_id, distance) of every document and item within the item's error budget."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    hits_type = f"hits array<struct<item_id:{benchmark.schema[item_id].dataType.simpleString()},distance:int>>, any boolean"
     found = []
     for items in _blocks(benchmark, item_id, item_text, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def make(shared=shared):
-            m = ItemMatcher(shared.value, error_rate, min_piece)
+            m = ItemMatcher(shared.value, error_rate)
 
             def run(texts: list) -> dict:
                 got = [m.matches(t) for t in texts]
@@ -164,19 +166,19 @@ def find_contamination(
 
             return run
 
-        hit = map_text(rows, make, "hits array<struct<item_id:long,distance:int>>, any boolean", where="any")
+        hit = map_text(rows, make, hits_type, where="any")
         found.append(hit.select("doc_id", F.inline("hits")))
     # an item id may stand for several texts
     return reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, error_rate: float = 0.08, min_piece: int = 12, block_chars: int = 4_000_000, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, error_rate: float = 0.08, block_chars: int = 4_000_000, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without the documents that hold an item; a streaming filter, no shuffle."""
     for items in _blocks(benchmark, item_id, item_text, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def make(shared=shared):
-            m = ItemMatcher(shared.value, error_rate, min_piece)
+            m = ItemMatcher(shared.value, error_rate)
             return lambda texts: {"__clean": [not m.matches(t, first_only=True) for t in texts]}
 
         docs = map_text(docs, make, "__clean boolean", text_col=text_col, where="__clean")

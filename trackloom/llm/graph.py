@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Each round is two grouped minima and two joins over the remaining edges, written to the shared
-folder; the edge set shrinks to stars. Only a count and a checksum reach the driver.
+folder; the edge set shrinks to stars. A centre that holds a large share of all edges meets them by broadcast
+(:func:`.common.spread_join`). Only counts and a checksum reach the driver.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import Scratch, materialise, spread_join
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -19,10 +20,11 @@ def _mark(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def _star(pairs: DataFrame, larger_only: bool) -> DataFrame:
+def _star(pairs: DataFrame, larger_only: bool, scratch: Scratch) -> DataFrame:
     """pairs (u, v): every v (that is larger than u, if asked) points at u's smallest neighbour, itself included."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
-    joined = pairs.join(least, "u")
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("held"))
+    least = scratch.table(least.select("u", F.least("u", "m").alias("m"), "held"), "least")
+    joined = spread_join(pairs, least, ["u"], "held")
     if larger_only:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -33,41 +35,52 @@ def _star(pairs: DataFrame, larger_only: bool) -> DataFrame:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, for every node that has an edge. Null ends are ignored."""
     cut = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(f"{a} is not null and {b} is not null and a != b").distinct()
-    now = materialise(cut, "edges")
-    seen = _mark(now)
-    while seen[0]:
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = _star(both, larger_only=True)
-        now = materialise(_star(large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), larger_only=False), "edges")
-        if (mark := _mark(now)) == seen:
-            break
-        seen = mark
-    roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
-
-
-def band_links(bands: DataFrame, near: Callable[[DataFrame], DataFrame], *, where: str = "true", pivots: int = 16) -> DataFrame:
-    """Edges (a, b) between nodes whose components are those of all near pairs that share a band.
+    with Scratch(edges.sparkSession, "components") as scratch:
+        now = scratch.table(cut, "edges")
+        seen = _mark(now)
+        while seen[0]:
+            both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
+            large = _star(both, True, scratch)
+            now = scratch.table(_star(large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), False, scratch), "edges")
+            if (mark := _mark(now)) == seen:
+                break
+            seen = mark
+        roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
+        return materialise(now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots), "components")
+
+
+def band_links(bands: DataFrame, known: DataFrame, near: Callable[[DataFrame], DataFrame], scratch: Scratch, *, where: str = "true", pivots: int = 16) -> DataFrame:
+    """Edges (a, b) between nodes whose components are those of the ``known`` edges and of all near pairs that share a band.
 
     bands: (key, node, n), one row per band and node; ``near`` keeps the linked ones of pairs (a, b), and pairs that
     fail ``where`` (over n and p_n) are not asked about. A band's nodes meet ``pivots`` of their own at a time, those of
     its smallest components first, and only while it holds several components: a group of n linked nodes
     takes a small multiple of n comparisons. Each further round takes four times as many pivots.
+
+    A band that holds a large share of all rows stays spread: its counts are aggregates, its pivots the first of those
+    that each task finds, and they come to its rows by broadcast.
     """
-    edges = materialise(bands.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false"), "edges")
-    bands = bands.select("key", "node", "n", F.col("node").alias("component"))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        parts = connected_components(edges)
+        return scratch.table(rows.join(parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component")), "bands")
+
+    edges = known
+    bands = placed(bands)
     while True:
-        by_key = Window.partitionBy("key")
-        several = bands.withColumns({"lo": F.min("component").over(by_key), "hi": F.max("component").over(by_key)}).where("lo != hi").drop("lo", "hi")
-        sized = several.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key", "component")))
-        ranked = materialise(sized.withColumn("rank", F.row_number().over(by_key.orderBy("size", "node"))).drop("size"), "ranked")
-        if ranked.isEmpty():
+        sizes = scratch.table(bands.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size")), "sizes")
+        keys = scratch.table(sizes.groupBy("key").agg(F.sum("size").alias("held"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts"), "keys")
+        if keys.isEmpty():
             return edges
-        p = ranked.where(F.col("rank") <= pivots).select("key", *[F.col(c).alias(f"p_{c}") for c in ("node", "n", "component", "rank")])
-        met = ranked.join(p, "key").where(f"rank > p_rank and component != p_component and {where}")
-        pairs = met.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
-        edges = materialise(edges.unionByName(near(pairs)), "edges")
-        left = ranked.where(F.col("rank") > pivots).select("key", "node", "n")
-        parts = connected_components(edges)
-        bands = left.join(parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+        several = scratch.table(spread_join(bands, keys, ["key"], "held").drop("held"), "several")
+        sized = scratch.table(spread_join(several, sizes, ["key", "component"], "size").withColumn("task", F.spark_partition_id()), "sized")
+        in_task = sized.withColumn("rank", F.row_number().over(Window.partitionBy("key", "task").orderBy("size", "node"))).where(F.col("rank") <= pivots)
+        ranked = in_task.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("size", "node"))).where(F.col("rank") <= pivots)
+        chosen = ranked.groupBy("key").agg(F.collect_list(F.struct("node", "n", "component", "rank")).alias("pivots"))
+        met = scratch.table(spread_join(several, scratch.table(chosen.join(keys, "key"), "pivots"), ["key"], "held"), "met")
+        p = F.col("p")
+        one = met.select("node", "n", "component", F.explode("pivots").alias("p")).select("node", "n", "component", *[p[c].alias(f"p_{c}") for c in ("node", "n", "component")])
+        pairs = one.where(f"component != p_component and {where}").select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
+        edges = scratch.table(edges.unionByName(near(scratch.table(pairs, "pairs"))), "edges")
+        bands = placed(met.where(~F.exists("pivots", lambda x: x["node"] == F.col("node"))).select("key", "node", "n"))
         pivots *= 4

@@ -4,26 +4,30 @@ Features: hashed counts of the lower-cased text's 1- to 3-grams, 1 + log(count)
 document frequency, scaled to length 1. Document frequencies cover every training document
 and are gathered as one vector of 2**bits counts per task. The weights are trained with
 FTRL-proximal (per-coordinate rates, L1 and L2 penalties) on a bounded sample of at most
-``sample_rows`` training documents, those of smallest id hash; a temperature is then fitted on a tenth
-of the sample that the weights have not seen.
+``sample_rows`` training documents, an equal share of it for each language, so that no learned language is missing:
+those of smallest hash of (id, language, text). A temperature is then fitted on a tenth of the sample that the weights
+have not seen.
 
 Defined results: null text, empty text and text without a letter give ``und`` with score 0; rows of
 null ``lang`` train nothing; without any training row every text is ``und``; repeated rows
-are predicted as rows of their own; an empty table gives an empty result.
+are predicted as rows of their own, count as often in the frequencies, and once in the sample; of more languages than
+``sample_rows`` each has one document; a very long text is counted in arrays of four bytes a character;
+columns that clash with the result's names give way to them; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, map_text
+from .common import hash_share, held_out, map_text
 
 _LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -125,13 +129,16 @@ def _sparse(texts: list, bits: int) -> dict:
 
 
 def _frequencies(batches, bits: int):
-    df, rows = np.zeros(1 << bits, np.int64), 0
+    """Per task: documents with each bucket, and documents of each language."""
+    df, languages = np.zeros(1 << bits, np.int64), Counter()
     for batch in batches:
+        languages.update(batch.column(1).to_pylist())
         for t in batch.column(0).to_pylist():
             df += ngram_counts(t, bits) > 0
-            rows += 1
     seen = np.flatnonzero(df)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(df[seen], rows))], names=["bucket", "n"])
+    names = [None] * len(seen) + list(languages)
+    buckets = [*seen.tolist(), *[-1] * len(languages)]
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(buckets, pa.int64()), pa.array([*df[seen].tolist(), *languages.values()], pa.int64())], names=["lang", "bucket", "n"])
 
 
 def train(
@@ -151,20 +158,26 @@ def train(
     """Learn from the rows outside the held-out fold that have a language and a letter."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counted = rows.select("text").mapInArrow(lambda it: _frequencies(it, bits), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    total = int(counted.loc[counted["bucket"] == -1, "n"].sum())
+    counted = rows.select("text", "lang").mapInArrow(lambda it: _frequencies(it, bits), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
+    per_language = {r["lang"]: r["n"] for r in counted if r["bucket"] < 0}
+    total = sum(per_language.values())
     if not total:
         return LanguageModel([], np.zeros((1 << bits, 0), np.float32), np.zeros(0), np.zeros(1 << bits), bits)
     df = np.zeros(1 << bits)
-    real = counted[counted["bucket"] >= 0]
-    df[real["bucket"].to_numpy()] = real["n"].to_numpy()
+    real = [(r["bucket"], r["n"]) for r in counted if r["bucket"] >= 0]
+    df[[b for b, _ in real]] = [n for _, n in real]
     idf = np.log((1 + total) / (1 + df)) + 1
-    # the sample: smallest hashes of id and language; ties and repeated rows end at the bound
-    order = F.xxhash64(F.col("doc_id"), F.col("lang"))
-    chosen = rows.select(order.alias("h"), "doc_id").orderBy("h").limit(sample_rows).select("doc_id").distinct()
-    sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").withColumn("h", order).select("h", "lang", "text")
-    sample = map_text(sample, lambda: lambda texts: _sparse(texts, bits), "idx binary, counts binary").select("h", "lang", "idx", "counts")
-    got = sorted((r["h"], r["lang"], r["idx"], r["counts"]) for r in sample.limit(2 * sample_rows).collect())
+    languages = sorted(per_language)
+    # twice each language's bound in expectation, but never so few that a small share finds none
+    bound = max(sample_rows // len(languages), 1)
+    shares = docs.sparkSession.createDataFrame([(x, (2 * bound + 20) / per_language[x]) for x in languages], "lang string, share double")
+    hashed = rows.withColumn("h", F.xxhash64("doc_id", "lang", "text"))
+    near = hashed.join(F.broadcast(shares), "lang").where(hash_share(F.col("h")) < F.col("share")).groupBy("lang", "h").agg(F.count(F.lit(1)).alias("copies"))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= bound)
+    chosen = docs.sparkSession.createDataFrame(ranked.select("lang", "h").collect(), "lang string, h long")
+    sample = hashed.join(F.broadcast(chosen), ["lang", "h"], "left_semi").select("h", "lang", "text")
+    sample = map_text(sample, lambda: lambda texts: _sparse(texts, bits), "idx binary, counts binary").groupBy("h", "lang").agg(F.first("idx").alias("idx"), F.first("counts").alias("counts"))
+    got = sorted((r["h"], r["lang"], r["idx"], r["counts"]) for r in sample.collect())
     languages = sorted({r[1] for r in got})
     model = LanguageModel(languages, np.zeros((1 << bits, len(languages)), np.float32), np.zeros(len(languages)), idf, bits)
     examples = [(i := np.frombuffer(a, "<u4"), c := np.frombuffer(b, "<u4"), model.vector(i, c), languages.index(lang)) for _, lang, a, b in got]

@@ -1,38 +1,37 @@
 """Line deduplication through a log-template tree.
 
-A line is parsed by the tree's fixed depth: token count, then the first ``depth`` tokens (a token with
-a digit is a variable field already, ``<*>``). Lines that reach one leaf share a shape; among a
-leaf's different lines a token that stands at its place in two lines or more is constant, any other is a
-variable field. A line takes the leaf's generalised template if ``similarity`` of its tokens at least are
-constant, else its own masked text is its template. The result depends on no order of arrival, so every
-step is a grouped aggregate with map-side combine and a hot line is one row per task.
-
-With ``linked`` the leaf's lines share a template instead if they are connected by pairs that differ in at most
-1 - ``similarity`` of their places. That needs no count that a leaf can outgrow: the values of two variable fields
-recur as data grow, and the rule above then takes them for constants. Whatever the rule above joins,
-this one joins too. Lines that differ in k places at most agree in one of k + 1 segments of their places
-after the leading ones, so no pair is lost. The op 2 query keeps the rule above, which is that of its SQL.
-
-A template recurs if it occurs in two documents or more. Its lines stay in the first of them (smallest
-id, then text hash) and are dropped from all others. Lines of fewer than ``min_tokens`` tokens are
-left alone, or with ``short`` have their own masked text as template, without generalising. Where the mask leaves no
-letter the template is the text itself, so that different numbers stay apart; of such lines those of ``MIN_CHARS``
-characters or more (scripts without spaces) have just their digits masked. Blank lines are never templates.
-
-Rows of equal id and text are one document. Defined results: null text stays null, empty text
-stays empty, both without dropped lines; a null id sorts before all others; an empty table gives an
-empty result.
+A line is parsed by the tree's fixed depth: token count, then the first ``depth`` tokens (a token with a digit is a
+variable field already, ``<*>``). Lines that reach one leaf share a shape. A leaf's template holds, place by place, the
+token that stands there in more than half of the leaf's different lines; any other place is a variable field. A line
+takes the template if ``similarity`` of its tokens at least are the template's. Where lines of a leaf take no template, the
+leaf mixes several: those lines are split by their token at the place with the fewest different tokens (the first such
+place), and each part has a template of its own, ``splits`` times at most. A line that takes none is its own template.
+
+All shares are relative to the leaf, so a template collapses alike in small and large data, whatever number of
+fields it has. No two lines are compared with each other: every step is a grouped aggregate with map-side combine, and the
+result depends on no order of arrival.
+
+Lines of fewer than ``min_tokens`` tokens do not generalise: their own masked text is their template. Where the mask
+leaves no letter the template is the text itself, so that different numbers stay apart; of such lines those of
+``MIN_CHARS`` characters or more (scripts without spaces) have just their digits masked. Blank lines are never templates.
+
+A template recurs if it occurs in two documents or more. Its lines stay in the first of them (smallest id, then text
+hash) and are dropped from all others. A line, template or token that holds a large share of all rows meets the others by a
+broadcast of such hot keys (fewer than a fixed number), not in one task.
+
+Rows of equal id and text are one document. Defined results: null text stays null, empty text stays empty, both without
+dropped lines; a null id sorts before all others; a very long text is parsed line by line in its task, and its drops are one
+array of positions; a column that a name in ``counts`` clashes with gives way to the count; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap, materialise, probe_bitmap
-from .graph import band_links, connected_components
+from .common import Scratch, bitmap, materialise, probe_bitmap, spread_join
 
 FILTER_BITS = 1 << 24
 VARIABLE = "<*>"
@@ -46,9 +45,8 @@ def _normalised(raw: Column) -> Column:
     return F.when(raw.rlike("[0-9]"), F.regexp_replace(line, r"\S*[0-9]\S*", VARIABLE)).otherwise(line)
 
 
-def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.col(text_col).cast("string")
-    return docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h")).alias("doc"), text.alias("text"))
+def _document(id_col: str, text_col: str) -> Column:
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"))
 
 
 def _short(raw: Column, text: Column) -> Column:
@@ -58,85 +56,67 @@ def _short(raw: Column, text: Column) -> Column:
     return F.when(text.rlike(r"\p{L}"), text).otherwise(own)
 
 
-def _lines(docs: DataFrame, depth: int, min_tokens: int, short: bool = False) -> DataFrame:
-    """(doc, pos, text, leaf, line, long): leaf and line are 64-bit hashes, used together."""
-    rows = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    rows = rows.select("doc", "pos", *(["raw"] if short else []), _normalised(F.col("raw")).alias("text"))
-    n = F.octet_length("text") - F.octet_length(F.replace("text", F.lit(" "), F.lit(""))) + 1
-    leaf = F.xxhash64("n", F.substring_index("text", " ", depth))
+def _lines(docs: DataFrame, depth: int, min_tokens: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc, pos, text, leaf, line, n): leaf and line are 64-bit hashes, used together; n is null for short lines."""
+    rows = docs.select(_document(id_col, text_col).alias("doc"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("pos", "raw"))
+    rows = rows.select("doc", "pos", "raw", _normalised(F.col("raw")).alias("text")).where(F.col("text") != "")
+    rows = rows.withColumn("n", F.octet_length("text") - F.octet_length(F.replace("text", F.lit(" "), F.lit(""))) + 1)
     long = F.col("n") >= min_tokens
-    rows = rows.withColumn("n", n)
-    if short:
-        rows = rows.where(long | (F.col("text") != "")).withColumn("text", F.when(long, F.col("text")).otherwise(_short(F.col("raw"), F.col("text"))))
-    else:
-        rows = rows.where(long)
-    return rows.select("doc", "pos", "text", leaf.alias("leaf"), F.xxhash64("text").alias("line"), long.alias("long"))
+    rows = rows.withColumn("text", F.when(long, F.col("text")).otherwise(_short(F.col("raw"), F.col("text"))))
+    leaf = F.xxhash64("n", F.substring_index("text", " ", depth))
+    return rows.select("doc", "pos", "text", leaf.alias("leaf"), F.xxhash64("text").alias("line"), F.when(long, F.col("n")).alias("n"))
 
 
 def _bit(*columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
 
 
-def _leaf_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(leaf, line, tokens) of the lines of leaves with several different ones."""
-    shared = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leaf")
-    near = probe_bitmap(lines.select("leaf", "line", "text"), _bit("leaf"), bitmap(shared, _bit("leaf"))).where("in_bitmap")
-    several = materialise(near.groupBy("leaf", "line").agg(F.first("text").alias("text")).join(shared, "leaf", "left_semi"), "leaf-lines")
-    return several.select("leaf", "line", F.split("text", " ").alias("tokens"))
-
-
-def generalise(lines: DataFrame, distinct: DataFrame, depth: int, similarity: float) -> DataFrame:
-    """(leaf, line, constant, n_constant) of lines that take their leaf's generalised template."""
-    several = _leaf_lines(lines, distinct)
-    tokens = several.select("leaf", "line", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token")).withColumn("token", F.xxhash64("token"))
-    constant = tokens.groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1").drop("seen")
-    held = tokens.join(constant, ["leaf", "at", "token"], "left_semi")
-    made = held.groupBy("leaf", "line", "n").agg(F.bit_xor(F.xxhash64("at", "token")).alias("constant"), F.count(F.lit(1)).alias("n_constant"))
-    return made.where(F.col("n_constant") >= F.col("n") * similarity).select("leaf", "line", "constant", "n_constant")
-
-
-def link_lines(lines: DataFrame, distinct: DataFrame, depth: int, similarity: float) -> DataFrame:
-    """As :func:`generalise`, by linked lines: ``constant`` names a group of them."""
-    several = _leaf_lines(lines, distinct)
-    n = F.size("tokens")
-    differ = F.floor(n * (1 - similarity) + 1e-9).cast("int")
-    parts, rest = differ + 1, F.greatest(n - depth, F.lit(0))
-    cut = lambda j: depth + F.floor(j * rest / parts).cast("int")
-    segment = lambda j: F.xxhash64("leaf", j, F.slice("tokens", cut(j) + 1, cut(j + 1) - cut(j)))
-    rows = several.select(F.col("line").alias("node"), n.alias("n"), F.explode(F.transform(F.sequence(F.lit(0), differ), segment)).alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("key")
-    bands = materialise(rows.join(shared, "key", "left_semi").select("key", "node", "n"), "line-bands")
-
-    def near(pairs: DataFrame) -> DataFrame:
-        one, two = (several.select(F.col("line").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in "ab")
-        other = F.size(F.filter(F.zip_with("a_tokens", "b_tokens", lambda x, y: x != y), lambda x: x))
-        both = pairs.join(one, "a").join(two, "b")
-        return both.where(other <= F.floor(F.size("a_tokens") * (1 - similarity) + 1e-9)).select("a", "b")
-
-    groups = connected_components(band_links(bands, near))
-    named = several.select("leaf", "line").join(groups, F.col("line") == F.col("node"))
-    return named.select("leaf", "line", F.col("component").alias("constant"), F.lit(0).cast("long").alias("n_constant"))
-
-
-def find_repeats(docs: DataFrame, *, depth: int = 3, min_tokens: int = 5, similarity: float = 0.8, linked: bool = False, short: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def generalise(found: DataFrame, distinct: DataFrame, *, similarity: float, splits: int, scratch: Scratch) -> DataFrame:
+    """(leaf, line, template) of the different lines that take a template of their leaf or of a part of it."""
+    shared = scratch.table(distinct.where("n is not null").groupBy("leaf").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "leaves")
+    near = probe_bitmap(found.where("n is not null").select("leaf", "line", "n", "text"), _bit("leaf"), bitmap(shared, _bit("leaf"))).where("in_bitmap")
+    different = near.groupBy("leaf", "line", "n").agg(F.first("text").alias("text"))
+    several = spread_join(different, shared, ["leaf"], "held").select("leaf", "line", "n", F.col("leaf").alias("part"), F.posexplode(F.split("text", " ")).alias("at", "token"))
+    tokens = scratch.table(several.withColumn("token", F.xxhash64("token")), "tokens")
+    taken = []
+    for k in range(splits + 1):
+        seen = tokens.groupBy("part", "at", "token").agg(F.count(F.lit(1)).alias("seen"))
+        most = F.max(F.struct("seen", "token"))
+        places = seen.groupBy("part", "at").agg(most.alias("most"), F.count(F.lit(1)).alias("kinds"), F.sum("seen").alias("held"))
+        by_part = Window.partitionBy("part")
+        cut = F.min(F.when(F.col("kinds") > 1, F.struct("kinds", "at"))).over(by_part)["at"]
+        constant = F.when(2 * F.col("most.seen") > F.col("held"), F.col("most.token"))
+        places = places.select("part", "at", "held", constant.alias("constant"), F.coalesce(F.col("at") == cut, F.lit(False)).alias("is_cut"))
+        met = spread_join(tokens, scratch.table(places, "places"), ["part", "at"], "held")
+        agrees = F.coalesce((F.col("token") == F.col("constant")).cast("int"), F.lit(0))
+        lines = met.groupBy("leaf", "line", "part", "n").agg(F.sum(agrees).alias("agrees"), F.max(F.when(F.col("is_cut"), F.col("token"))).alias("at_cut"), F.max("held").alias("held"))
+        lines = scratch.table(lines, "lines")
+        takes = (F.col("held") > 1) & (F.col("agrees") >= F.col("n") * similarity)
+        taken.append(lines.where(takes).select("leaf", "line", F.col("part").alias("template")))
+        if k < splits:
+            left = lines.where(~takes & (F.col("held") > 1)).select("leaf", "line", F.xxhash64("part", "at_cut").alias("part"), F.lit(1).cast("long").alias("held"))
+            tokens = scratch.table(tokens.drop("part").join(left.drop("held"), ["leaf", "line"]), "tokens")
+    return reduce(DataFrame.unionByName, taken)
+
+
+def find_repeats(docs: DataFrame, *, depth: int = 3, min_tokens: int = 5, similarity: float = 0.8, splits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, drops): documents with the positions of their lines to drop."""
-    lines = _lines(_documents(docs, id_col, text_col), depth, min_tokens, short)
-    found = materialise(lines.select("doc", "pos", "leaf", "line", "long"), "lines")
-    distinct = materialise(found.groupBy("leaf", "line", "long").agg(F.min("doc").alias("first"), F.max("doc").alias("last")), "distinct-lines")
-    general = (link_lines if linked else generalise)(lines.where("long"), distinct.where("long"), depth, similarity)
-    named = distinct.join(general, ["leaf", "line"], "left").select(
-        "leaf",
-        "line",
-        "first",
-        "last",
-        F.coalesce("constant", "line").alias("template"),
-        F.coalesce("n_constant", F.lit(-1).cast("long")).alias("kind"),
-    )
-    named = materialise(named, "named-lines")
-    recurring = named.groupBy("leaf", "template", "kind").agg(F.min("first").alias("keeper"), F.max("last").alias("other")).where("keeper != other").drop("other")
-    keepers = named.join(recurring, ["leaf", "template", "kind"]).select("leaf", "line", "keeper")
-    repeated = found.join(keepers, ["leaf", "line"]).where("doc != keeper")
-    return repeated.groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("drops"))
+    with Scratch(docs.sparkSession, "lines") as scratch:
+        found = scratch.table(_lines(docs, depth, min_tokens, id_col, text_col), "found")
+        distinct = found.groupBy("leaf", "line", "n").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("held"))
+        distinct = scratch.table(distinct, "different")
+        general = generalise(found, distinct, similarity=similarity, splits=splits, scratch=scratch)
+        named = distinct.join(general, ["leaf", "line"], "left").select(
+            "leaf", "line", "first", "last", "held", F.coalesce("template", "line").alias("template"), F.col("template").isNotNull().alias("general")
+        )
+        named = scratch.table(named, "named")
+        key = ["leaf", "template", "general"]
+        recurring = named.groupBy(*key).agg(F.min("first").alias("keeper"), F.max("last").alias("other"), F.count(F.lit(1)).alias("lines")).where("keeper != other")
+        recurring = scratch.table(recurring.drop("other"), "recurring")
+        keepers = spread_join(named, recurring, key, "lines").where("first != keeper or last != keeper")
+        keepers = scratch.table(keepers.select("leaf", "line", "keeper", "held"), "keepers")
+        repeated = spread_join(found.select("doc", "pos", "leaf", "line"), keepers, ["leaf", "line"], "held").where("doc != keeper")
+        return materialise(repeated.groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("drops")), "drops")
 
 
 def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] | None = None, **options) -> DataFrame:
@@ -144,19 +124,20 @@ def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
 
     Only documents that a bitmap of fixed size lets through are shuffled to meet their drops.
     """
-    names = docs.columns
-    drops = materialise(find_repeats(docs, id_col=id_col, text_col=text_col, **options), "drops")
+    names = [c for c in docs.columns if c not in (counts or ())]
+    drops = find_repeats(docs, id_col=id_col, text_col=text_col, **options)
     row = F.struct(*[F.col(f"`{c}`") for c in names])
-    rows = docs.select(row.alias("row"), F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h")).alias("doc"))
-    words = bitmap(drops, _bit("doc"))
-    probed = probe_bitmap(rows, _bit("doc"), words)
+    rows = docs.select(row.alias("row"), _document(id_col, text_col).alias("doc"))
+    probed = probe_bitmap(rows, _bit("doc"), bitmap(drops, _bit("doc")))
     touched = probed.where("in_bitmap").join(drops, "doc", "left").select("row", "drops")
     alone = probed.where(~F.col("in_bitmap")).select("row", F.lit(None).cast("array<int>").alias("drops"))
     all_ = touched.unionByName(alone)
-    text = F.col("row").getField(text_col)
-    split = F.split(text.cast("string"), "\n")
-    left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("drops", i)), "\n")
-    out = [F.when(F.col("drops").isNotNull(), left).otherwise(text.cast("string")).alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names]
+    text = F.col("row").getField(text_col).cast("string")
+    # a column of its own, read more than once: the lambda below must not split the text for every line
+    parts = all_.select("row", "drops", F.split(text, "\n").alias("parts"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "drops")
+    left = F.array_join(F.transform(stay, lambda i: F.get("parts", i)), "\n")
+    out = [F.when(F.col("drops").isNotNull(), left).otherwise(text).alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names]
     if counts:
-        out += [F.coalesce(F.size(split), F.lit(0)).alias(counts[0]), F.coalesce(F.size("drops"), F.lit(0)).alias(counts[1])]
-    return all_.select(*out)
+        out += [F.coalesce(F.size("parts"), F.lit(0)).alias(counts[0]), F.coalesce(F.size("drops"), F.lit(0)).alias(counts[1])]
+    return parts.select(*out)

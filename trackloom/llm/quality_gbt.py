@@ -6,11 +6,13 @@ and thresholds as (trees, 2**depth - 1) arrays and leaf values as (trees, 2**dep
 walks for a batch of rows and all trees at once.
 
 The trees are fitted on a bounded sample: at most ``sample_rows`` labelled rows outside the held-out
-fold, those of smallest id hash. Labels, language, source and id are no inputs of a score.
+fold, the first by (id hash, id, text hash). A threshold on the hash keeps every task's share of it small. Labels, language,
+source and id are no inputs of a score.
 
-Defined results: null and empty texts are scored by their (zero) statistics; a document labelled more than
-once takes the mean label; without labels every score is 0.5; repeated rows are scored as rows of
-their own; an empty table gives an empty result.
+Defined results: null and empty texts are scored by their (zero) statistics; very long texts are counted in parts, which
+hold 16 bytes a word; a document labelled more than once takes the mean label; without labels every score is 0.5; repeated
+rows are scored as rows of their own, and count once in the sample; a column that clashes with the score's name
+gives way to it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_text
+from .common import cut_text, hash_share, held_out, map_text
 
 _CLASSES = ("space", "newline", "lower", "upper", "digit", "stop", "comma", "shout", "bracket", "mark", "bar", "other", "lead", "tail")
 _OF = np.full(256, _CLASSES.index("other"), np.uint8)
@@ -30,27 +32,42 @@ for _name, _chars in {"space": " \t\r", "newline": "\n", "lower": "abcdefghijklm
 _OF[0xC0:] = _CLASSES.index("lead")
 _OF[0x80:0xC0] = _CLASSES.index("tail")
 
+#: Characters of a long text that are counted together, and an odd factor that tells (a, b) from (b, a).
+PART_CHARS, _PAIR = 1 << 20, 0x27D4EB2F165667C5
 FEATURES = (*(f"{c}_share" for c in _CLASSES), "log_chars", "log_words", "word_chars", "unique_words", "unique_pairs", "log_lines", "unique_lines", "line_words", "marks_per_word", "shouts_per_word", "bars_per_word", "upper_of_letters", "longest_word")
 
 
+def _word_hashes(text: str) -> tuple[np.ndarray, int, int]:
+    """A hash of every word, the sum of the words' lengths and the longest one; a part of the text at a time."""
+    hashes, total, longest = [], 0, 0
+    for part in cut_text(text, PART_CHARS):
+        words = part.split()
+        sizes = list(map(len, words))
+        hashes.append(np.fromiter(map(hash, words), np.int64, len(words)))
+        total, longest = total + sum(sizes), max(longest, max(sizes, default=0))
+    return np.concatenate(hashes), total, longest
+
+
 def statistics(text: str | None) -> np.ndarray:
     text = text or ""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     c = np.bincount(_OF[raw], minlength=len(_CLASSES)).astype(float)
     n = dict(zip(_CLASSES, c, strict=True))
-    words = text.split()
-    lines = [x for x in text.split("\n") if x.strip()]
+    words, word_chars, longest = _word_hashes(text)
+    lines = [hash(x) for x in text.split("\n") if x and not x.isspace()]
     w = max(len(words), 1)
     letters = max(n["lower"] + n["upper"] + n["lead"], 1)
     pairs = max(len(words) - 1, 1)
+    with np.errstate(over="ignore"):
+        joined = words[:-1] * np.int64(_PAIR) + words[1:]
     return np.array(
         [
             *(c / max(len(raw), 1)),
             np.log1p(len(text)),
             np.log1p(len(words)),
-            sum(map(len, words)) / w,
-            len(set(words)) / w,
-            len(set(zip(words, words[1:]))) / pairs,  # noqa: B905
+            word_chars / w,
+            len(np.unique(words)) / w,
+            len(np.unique(joined)) / pairs,
             np.log1p(len(lines)),
             len(set(lines)) / max(len(lines), 1),
             len(words) / max(len(lines), 1),
@@ -58,7 +75,7 @@ def statistics(text: str | None) -> np.ndarray:
             n["shout"] / w,
             n["bar"] / w,
             n["upper"] / letters,
-            max(map(len, words), default=0),
+            longest,
         ]
     )
 
@@ -134,11 +151,14 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 20_000, id_c
     """Fit on labelled rows outside the held-out fold."""
     marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     marked = marked.groupBy("doc_id").agg(F.avg("y").alias("y"))
-    chosen = marked.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample_rows)
+    # twice the bound in expectation, so that no task sends more than its share of that
+    share = 2 * sample_rows / max(marked.count(), 1)
+    chosen = marked.withColumn("h", F.xxhash64("doc_id")).where(hash_share(F.col("h")) < share).orderBy("h", "doc_id").limit(sample_rows)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    counted = map_text(rows, lambda: lambda texts: {"x": [statistics(t).tolist() for t in texts]}, "x array<double>").select("h", "doc_id", "y", "x")
-    got = sorted((r["h"], r["doc_id"], r["y"], r["x"]) for r in counted.limit(2 * sample_rows).collect())
-    return fit_trees(np.array([r[3] for r in got]), np.array([float(r[2] >= 0.5) for r in got]), **options)
+    counted = map_text(rows, lambda: lambda texts: {"x": [statistics(t).tolist() for t in texts]}, "x array<double>")
+    once = counted.groupBy("h", "doc_id", F.xxhash64("text").alias("t")).agg(F.first("y").alias("y"), F.first("x").alias("x"))
+    got = once.orderBy("h", "doc_id", "t").limit(sample_rows).select("y", "x").collect()
+    return fit_trees(np.array([r["x"] for r in got]), np.array([float(r["y"] >= 0.5) for r in got]), **options)
 
 
 def score(docs: DataFrame, model: TreeEnsemble, *, text_col: str = "text", name: str = "score") -> DataFrame:

@@ -19,26 +19,40 @@ def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"))
 
 
-OP2 = r"""
+_OP2_LINES = r"""
 with split as (select doc_id, text, string_split(text, chr(10)) as parts from documents),
 lines as (select doc_id, unnest(range(len(parts))) as pos, unnest(parts) as raw from split),
-tokens as (select doc_id, pos, string_split(regexp_replace(trim(regexp_replace(raw, '\s+', ' ', 'g')), '\S*[0-9]\S*', '<*>', 'g'), ' ') as line from lines),
-kept as (select doc_id, pos, line, len(line) as n, line[1:3] as lead from tokens where len(line) >= 5),
-different as (select n, lead, line, min(doc_id) as first, max(doc_id) as last from kept group by all),
-shared as (select n, lead from different group by all having count(*) > 1),
-spread as (select n, lead, line, unnest(range(n)) as place, unnest(line) as token from different join shared using (n, lead)),
-held as (select *, count(*) over (partition by n, lead, place, token) > 1 as constant from spread),
-general as (select n, lead, line, list(token order by place) filter (constant) as words, list(place order by place) filter (constant) as places from held
-  group by all having count(*) filter (constant) >= n * cast(0.8 as double)),
-named as (select d.*, coalesce(g.words, d.line) as words, g.places from different d left join general g using (n, lead, line)),
-judged as (select n, lead, line, min(first) over same as keeper, max(last) over same as other from named
-  window same as (partition by n, lead, words, places)),
-dropped as (select k.doc_id, k.pos from kept k join judged j using (n, lead, line) where j.keeper != j.other and k.doc_id != j.keeper),
+spaced as (select doc_id, pos, raw, trim(regexp_replace(raw, '\s+', ' ', 'g')) as exact from lines),
+masked as (select *, regexp_replace(exact, '\S*[0-9]\S*', '<*>', 'g') as masked from spaced),
+kept as (select doc_id, pos, len(string_split(masked, ' ')) >= 5 as long,
+    string_split(case when long or regexp_matches(masked, '\p{L}') then masked
+      when regexp_matches(exact, '\p{L}') and length(exact) >= 20 then regexp_replace(exact, '[0-9]+', '<*>', 'g') else exact end, ' ') as line
+  from masked where masked != ''),
+different as (select long, line, min(doc_id) as first, max(doc_id) as last from kept group by all),
+part0 as (select line, [cast(len(line) as varchar)] || line[1:3] as part from different where long),
+"""
+#: One level of the tree: lines that take their part's template, and the parts of those that do not.
+_OP2_LEVEL = """
+tokens{k} as (select line, part, held, unnest(range(len(line))) as place, unnest(line) as token from (select *, count(*) over (partition by part) as held from part{k})),
+places{k} as (select part, place, count(*) as kinds, max(held) as held, max(token) filter (2 * seen > held) as constant
+  from (select part, place, token, held, count(*) as seen from tokens{k} group by all) group by part, place),
+cut{k} as (select part, min({{'kinds': kinds, 'place': place}}) as cut from places{k} where kinds > 1 group by part),
+judged{k} as (select t.line, t.part, any_value(p.held) as held, count(*) filter (t.token = p.constant) as agrees, max(t.token) filter (t.place = c.cut.place) as at_cut
+  from tokens{k} t join places{k} p on t.part = p.part and t.place = p.place left join cut{k} c on c.part = t.part group by t.line, t.part),
+taken{k} as (select line, part from judged{k} where held > 1 and agrees >= len(line) * cast(0.8 as double)),
+part{next} as (select line, list_append(part, at_cut) as part from judged{k} where held > 1 and not agrees >= len(line) * cast(0.8 as double)),
+"""
+_OP2_DROPS = """
+taken as (select * from taken0 union all select * from taken1 union all select * from taken2),
+named as (select d.*, coalesce(t.part, d.line) as template, t.part is not null as general from different d left join taken t on d.long and d.line = t.line),
+judged as (select long, line, min(first) over same as keeper, max(last) over same as other from named window same as (partition by long, template, general)),
+dropped as (select k.doc_id, k.pos from kept k join judged j using (long, line) where j.keeper != j.other and k.doc_id != j.keeper),
 rebuilt as (select l.doc_id, coalesce(string_agg(raw, chr(10) order by l.pos) filter (d.pos is null), '') as text, count(*) as n_lines, count(d.pos) as n_dropped
   from lines l left join dropped d on l.doc_id = d.doc_id and l.pos = d.pos group by l.doc_id)
 select s.doc_id, case when r.n_dropped > 0 then r.text else s.text end as text, coalesce(r.n_lines, 0) as n_lines, coalesce(r.n_dropped, 0) as n_dropped
 from split s left join rebuilt r using (doc_id)
 """
+OP2 = _OP2_LINES + "".join(_OP2_LEVEL.format(k=k, next=k + 1) for k in range(3)) + _OP2_DROPS
 
 
 def op3_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,13 +107,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.when(F.col("id") == 0, "user").otherwise("assistant")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(words).alias("text"))
     table = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    turns = chat_format.read_back(chat_format.format_turns(table))
-    rows = F.array_sort(F.collect_list(F.struct("turn_no", "role", "text", "trained")))
+    turns = chat_format.format_turns(table)
+    whole = chat_format.conversations(turns, chat_format.expand_examples(turns))
+    read = whole.select("conv_id", "segments", F.transform("segments", chat_format.read_turn).alias("turns"), chat_format.read_losses(F.col("segments"), F.col("examples")).alias("losses"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return (
-        turns.groupBy("conv_id")
-        .agg(F.count(F.lit(1)).alias("n_turns"), rows.alias("turns"), F.coalesce(F.sum(F.length("trained")), F.lit(0)).cast("long").alias("loss_chars"), F.sum("chars").cast("long").alias("formatted_chars"))
-        .select("conv_id", "n_turns", F.sha2(said, 256).alias("turns_sha256"), "loss_chars", F.sha2(F.array_join(F.transform("turns", lambda t: t["trained"]), ""), 256).alias("loss_sha256"), "formatted_chars")
+    chars = lambda texts: F.aggregate(texts, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+    return read.select(
+        "conv_id",
+        F.size("segments").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        chars("losses").alias("loss_chars"),
+        F.sha2(F.array_join("losses", ""), 256).alias("loss_sha256"),
+        chars("segments").alias("formatted_chars"),
     )
 
 

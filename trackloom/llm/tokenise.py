@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import cut_text
+
 WORD_VOCABULARY = "word_bpe_49k.json"
 #: Bytes of text that are tokenised together, and the longest piece that is merged here.
 SLICE_BYTES = 1 << 23
@@ -227,21 +229,6 @@ def word_tokeniser(path: str) -> WordTokeniser:
     return _CACHE[path]
 
 
-def _cut(text: str) -> list[str]:
-    """A long text in parts of about ``SLICE_BYTES`` characters, cut where an ASCII white space stands."""
-    parts, at = [], 0
-    while len(text) - at > SLICE_BYTES:
-        stop = max(text.rfind(c, at, at + SLICE_BYTES) for c in " \n\t\r\x0b\x0c")
-        if stop <= at:
-            ahead = [x for x in (text.find(c, at + SLICE_BYTES) for c in " \n\t\r\x0b\x0c") if x >= 0]
-            if not ahead:
-                break
-            stop = min(ahead)
-        parts.append(text[at:stop])
-        at = stop
-    return [*parts, text[at:]]
-
-
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[object, np.ndarray]]:
     """(id, token ids with the end id) of each row of batches (id, text), in order."""
     tok = word_tokeniser(path)
@@ -252,7 +239,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int) ->
         while row < len(names):
             stop = max(row + 1, int(np.searchsorted(upto, upto[row] - sizes[row] + SLICE_BYTES, side="right")))
             if stop == row + 1 and sizes[row] > SLICE_BYTES:
-                yield names[row], np.concatenate([*(tok.encode(t) for t in _cut(texts[row].as_py())), [end_id]]).astype("<u4")
+                yield names[row], np.concatenate([*(tok.encode(t) for t in cut_text(texts[row].as_py(), SLICE_BYTES)), [end_id]]).astype("<u4")
             else:
                 ids, bounds = tok.encode_texts(texts.slice(row, stop - row))
                 bounds = bounds + np.arange(len(bounds))
