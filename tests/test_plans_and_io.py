@@ -62,9 +62,9 @@ def test_files_round_trip(spark, tmp_path):
     (tmp_path / "meta.csv").write_text('lab_id,video_id,frames_per_second,pix_per_cm_approx,body_parts_tracked,behaviors_labeled,extra\nL,007,30,12.5,"[""nose""]",,x\nL,8,25,10,"[""nose""]","[""mouse1,self,rear""]",y\n')
     meta = readers.read_meta(spark, str(tmp_path / "meta.csv"))
     assert {r["video_id"]: r["behaviors_labeled"] for r in meta.collect()} == {"007": "[]", "8": '["mouse1,self,rear"]'}
-    spark.createDataFrame([(1, 1, "rear", 0, 4), (1, 1, "ejaculate", 5, 6)], readers.ANNOTATION).toPandas().astype({"agent_id": "int32", "target_id": "int32", "start_frame": "int32", "stop_frame": "int32"}).to_parquet(_made(tmp_path / "ann/L") / "007.parquet")
+    spark.createDataFrame([(1, 1, "rear", 0, 4), (1, 1, "ejaculate", 5, 6), (1, 1, None, 7, 9)], readers.ANNOTATION).toPandas().astype({"agent_id": "int32", "target_id": "int32", "start_frame": "int32", "stop_frame": "int32"}).to_parquet(_made(tmp_path / "ann/L") / "007.parquet")
     ann = readers.read_annotations(spark, str(tmp_path / "ann"), meta).collect()
-    assert [(r["video_id"], r["lab_id"], r["action"]) for r in ann] == [("007", "L", "rear")]
+    assert [(r["video_id"], r["lab_id"], r["action"]) for r in ann] == [("007", "L", "rear"), ("007", "L", None)]
     rows = spark.createDataFrame([(0, 1, "nose", 1.0, float("nan")), (1, 1, "tail", 1.0, 2.0)], readers.TRACK).toPandas().astype({"video_frame": "int32", "mouse_id": "int32", "x": "float32", "y": "float32"})
     for v in ("007", "8"):
         rows.to_parquet(_made(tmp_path / "tracks/L") / f"{v}.parquet")
@@ -76,6 +76,51 @@ def test_files_round_trip(spark, tmp_path):
     assert readers.read_pseudo_labels(spark, None) is None
 
 
+def test_reader_errors(spark, tmp_path):
+    """Recordings without a file are left out, nested files are found, and nothing at all is an error (data_loads.py:50-52, 173-190)."""
+    rows = spark.createDataFrame([(0, 1, "nose", 1.0, 2.0)], readers.TRACK).toPandas().astype({"video_frame": "int32", "mouse_id": "int32", "x": "float32", "y": "float32"})
+    rows.to_parquet(_made(tmp_path / "tracks/L/deep") / "v{1}.parquet")
+    rows.to_parquet(tmp_path / "tracks/L/v2.parquet")
+    tracks = str(tmp_path / "tracks")
+    assert {r["video_id"] for r in readers.read_tracks(spark, tracks, "L", videos=["v{1}", "gone"]).collect()} == {"v{1}"}
+    assert readers.read_tracks(spark, tracks, "L").count() == 2
+    with pytest.raises(FileNotFoundError):
+        readers.read_tracks(spark, tracks, "L", videos=["gone"])
+    _made(tmp_path / "none")
+    with pytest.raises(FileNotFoundError):
+        readers.read_annotations(spark, str(tmp_path / "none"), spark.createDataFrame([], readers.META))
+    with pytest.raises(ValueError):
+        readers.read_tracks(spark, tracks, "L", videos=[])
+    line = 'L,1,{},10,"[]","[]"\n'
+    head = "lab_id,video_id,frames_per_second,pix_per_cm_approx,body_parts_tracked,behaviors_labeled\n"
+    (tmp_path / "same.csv").write_text(head + line.format(30) * 2)
+    assert readers.read_meta(spark, str(tmp_path / "same.csv")).count() == 1
+    (tmp_path / "clash.csv").write_text(head + line.format(30) + line.format(25))
+    with pytest.raises(Exception, match="different metadata rows of recording 1"):
+        readers.read_meta(spark, str(tmp_path / "clash.csv")).collect()
+
+
+def test_configuration_files_and_small_sinks(spark, tmp_path):
+    (tmp_path / "c.yaml").write_text("L:\n  rear:\n    window_cols: [v, w]\n")
+    assert readers.read_mapping(str(tmp_path / "c.yaml"))["L"]["rear"] == {"window_cols": ["v", "w"]}
+    (tmp_path / "list.yaml").write_text("- 1\n")
+    with pytest.raises(ValueError):
+        readers.read_mapping(str(tmp_path / "list.yaml"))
+    path = str(tmp_path / "best.yaml")
+    writers.upsert_params(path, "m", "L", {"x": 1})
+    writers.upsert_params(path, "m", "M", {"x": 2})
+    writers.upsert_params(path, "m", "L", {"y": 3})
+    assert readers.read_yaml(path) == {"m": {"L": {"y": 3}, "M": {"x": 2}}}
+    for k in range(2):
+        writers.append_trial(str(tmp_path / "trials.csv"), {"trial": k, "score": 0.5})
+    assert (tmp_path / "trials.csv").read_text().split() == ["trial,score", "0,0.5", "1,0.5"]
+    table = spark.createDataFrame([("L", "a", 1.5), ("M", "a", 2.5)], "lab_id string, action string, z_thr double")
+    writers.write_small_csv(table, str(tmp_path / "thr"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "thr")).count() == 2
+    writers.write_scores(table, str(tmp_path / "oof"))
+    assert spark.read.parquet(str(tmp_path / "oof")).where("lab_id = 'M'").first()["z_thr"] == 2.5
+
+
 def _made(path):
     path.mkdir(parents=True, exist_ok=True)
     return path
@@ -87,7 +132,7 @@ def test_run_log_grows_columns(spark, tmp_path):
     writers.append_run_log(spark, path, "L", {"c": 1}, 4, {"f": 0.5, "g": 0.25})
     rows = readers_sorted(writers.read_run_log(spark, path))
     assert rows[0]["a_b"] == "1,2" and rows[0]["f"] == 0.1235 and rows[0]["g"] is None and rows[1]["c"] == 1
-    assert writers.flatten({"x": {"y": 1}, "z": [1, "b"]}) == {"x.y": 1, "z": "1,b"}
+    assert writers.flatten({"x": {"y": 1}, "z": [1, "b"]}) == {"x_y": 1, "z": "1,b"}
 
 
 def readers_sorted(df):
@@ -130,13 +175,40 @@ def test_boosted_heads_fit_and_predict(spark, tmp_path):
     wide = heads.predict(rows)
     assert wide.columns == ["video_id", "agent_id", "target_id", "video_frame", "a"] and wide.where("a is not null").count() == 160
     heads.save(str(tmp_path / "models"))
+    again = model.BoostedHeads.load(spark, str(tmp_path / "models"))
+    assert sorted(map(tuple, again.predict(rows).collect())) == sorted(map(tuple, wide.collect()))
+
+
+def test_early_stopping_repeats_and_single_folds(spark):
+    rows = training_rows(spark).withColumn("ag_v", F.rand(3))
+    allowed = spark.createDataFrame([(str(v), 1, 2, "a") for v in range(4)], "video_id string, agent_id int, target_id int, action string")
+    params = {"maxIter": 30, "maxDepth": 2, "validationTol": 0.01}
+    heads = model.BoostedHeads(["a"], ["ag_v"], folds=2, num_models=3, early_stopping=True, use_calibration=False, params=params)
+    oof = heads.fit(rows, allowed)["oof"]
+    assert oof.count() == 160 and len(heads.models["a"][1]) == 3
+    assert all(h.stages[-1].getNumTrees < 30 for h in heads.models["a"][1])
+    alone = model.BoostedHeads(["a"], ["ag_v"], folds=5, params={"maxIter": 2})
+    assert alone.fit(rows.where("video_id = '1'"), allowed)["oof"].count() == 0 and len(alone.models["a"][1]) == 1
 
 
-def test_multiclass_net(spark):
-    net = model.MulticlassNet(["ag_v"], hidden=(4,), epochs=20, folds=2, unl_percent=50)
+def test_multiclass_net(spark, tmp_path):
+    net = model.MulticlassNet(["ag_v"], hidden=(4,), epochs=6, folds=2, unl_percent=50)
     found = net.fit(training_rows(spark))
     assert found["actions"] == ["Nothing", "a"] and found["oof"].count() == 320
-    assert net.predict(training_rows(spark)).columns == [*model.KEYS, "Nothing", "a"]
+    got = net.predict(training_rows(spark))
+    assert got.columns == [*model.KEYS, "Nothing", "a"]
+    # probabilities are averaged, then turned to log-odds
+    import math
+
+    row = training_rows(spark).where("video_id = '1' and video_frame = 7")
+    data, _ = model._assembled(row, net.features)
+    p = [m.transform(data).first()["probability"][1] for m in net.models]
+    mean = min(max(sum(p) / len(p), 1e-6), 1 - 1e-6)
+    want = math.log(mean / (1 - mean))
+    assert got.where("video_id = '1' and video_frame = 7").first()["a"] == pytest.approx(want, rel=1e-4)
+    net.save(str(tmp_path / "net"))
+    again = model.MulticlassNet.load(spark, str(tmp_path / "net")).predict(training_rows(spark))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got.collect()))
 
 
 def test_action_parameters():

@@ -99,13 +99,13 @@ def test_validation_messages(spark):
     good = truth.drop("lab_id", "behaviors_labeled")
     score.validate_for_scoring(truth, good)
     cases = [
-        (truth, good.limit(0), "Empty submission"),
-        (truth, good.drop("action"), "missing columns"),
-        (truth, good.withColumn("action", F.lit(None).cast("string")), "contains NA"),
-        (truth, good.withColumn("stop_frame", F.lit(0)), "start_frame >= stop_frame"),
-        (truth, good.withColumn("video_id", F.lit(9)), "unknown video_id"),
-        (truth, good.unionByName(good), "same frame in submission"),
-        (truth.unionByName(truth.withColumns({"behaviors_labeled": F.lit("[]"), "start_frame": F.lit(20), "stop_frame": F.lit(30)})), good, "Inconsistent"),
+        (truth, good.limit(0), "submission: no rows"),
+        (truth, good.drop("action"), "submission: no column action"),
+        (truth, good.withColumn("action", F.lit(None).cast("string")), "submission: 1 rows with a NULL"),
+        (truth, good.withColumn("stop_frame", F.lit(0)), "submission: 1 intervals that stop"),
+        (truth, good.withColumn("video_id", F.lit(9)), "1 recordings that the solution lacks"),
+        (truth, good.unionByName(good), "submission: 1 intervals that overlap"),
+        (truth.unionByName(truth.withColumns({"behaviors_labeled": F.lit("[]"), "start_frame": F.lit(20), "stop_frame": F.lit(30)})), good, "1 recordings with more than one list"),
     ]
     for sol, sub, message in cases:
         with pytest.raises(score.HostVisibleError, match=message):
@@ -150,14 +150,47 @@ def test_run_weights_sum_to_the_positives(spark):
     assert {r["weight"] for r in got if r["action"] != "a"} == {1.0}
 
 
-def test_folds_cover_videos_and_hold_a_positive():
-    videos, good = [f"v{i}" for i in range(17)], ["v1", "v2", "v9", "v16"]
-    for seed in range(20):
-        folds = sampling.video_folds(videos, good, 4, seed)
-        assert sorted(v for f in folds for v in f) == sorted(videos)
-        assert all(any(v in good for v in f) for f in folds)
-    assert len(sampling.video_folds(videos, good, 4, 1, num_models=6)) == 6
-    assert len(sampling.video_folds(videos, good[:2], 5, 1)) == 2
+def test_folds_cover_videos_and_hold_a_positive(spark):
+    videos, good = [f"v{i}" for i in range(17)], {"v1", "v2", "v9", "v16"}
+    rows = spark.createDataFrame([(v, "a" if v in good else "Nothing") for v in videos], "video_id string, action string")
+    deals = set()
+    for seed in range(4):
+        table = sampling.make_folds(rows, "a", 4, seed).collect()
+        folds = {f: {r["video_id"] for r in table if r["fold"] == f and r["role"] == "val"} for f in range(4)}
+        assert sorted(v for f in folds.values() for v in f) == sorted(videos) and len(table) == 4 * 17
+        assert all(f & good for f in folds.values())
+        deals.add(str(sorted(map(sorted, folds.values()))))
+    assert len(deals) > 1
+    six = sampling.make_folds(rows, "a", 4, 1, num_models=6).where("role = 'val'").collect()
+    assert {r["fold"] for r in six} == set(range(6)) and sum(r["fold"] < 4 for r in six) == 17
+    few = rows.withColumn("action", F.when(F.col("video_id").isin("v1", "v2"), F.col("action")).otherwise("Nothing"))
+    assert sampling.make_folds(few, "a", 5, 1).agg(F.max("fold")).first()[0] == 1
+
+
+def test_thresholds_equal_a_search_by_intervals(spark):
+    """Counting by levels against intervals made anew at every threshold."""
+    import random
+
+    rng = random.Random(2)
+    rows = [("l", 1, 1, 2, a, f, float(rng.randrange(40)) / 4) for a in "ab" for f in range(120) if rng.random() < 0.85]
+    p = spark.createDataFrame(rows, PREDS.replace("lab_id int", "lab_id string"))
+    truth = solution(spark, [(1, "mouse1", "mouse2", a, s, s + 9) for a, start in (("a", 0), ("b", 15)) for s in range(start, 110, 30)])
+    grid = [0.1 * k for k in range(-10, 110)]
+    for tuned, by, frames in ((tune.tune_per_action(p, truth, grid), ["lab_id", "action"], p), (tune.tune_per_lab(p, truth, grid), ["lab_id"], post.argmax_frames(p))):
+        for r in tuned.collect():
+            own = frames.where(F.col("action") == r["action"]) if "action" in by else frames
+            best = None
+            for z in grid[10:-10:7] + [r["z_thr"]]:
+                found = post.get_intervals(own.where(F.col("score") > F.lit(z).cast("float")))
+                stats = score.fbeta_stats(truth, found)
+                value = stats.where(F.col("action") == r["action"]).first()["f_beta"] if "action" in by else stats.agg(F.avg("f_beta")).first()[0]
+                best = max(best or 0, value)
+            assert value == pytest.approx(r["score"], abs=1e-6) and best <= r["score"] + 1e-6
+
+
+def test_thresholds_name_missing_laboratories(spark):
+    with pytest.raises(KeyError, match="no solution"):
+        tune.fit_thresholds(preds(spark, [("a", 1, 1)]), solution(spark, [(1, "mouse1", "mouse2", "a", 0, 4)]), 3, labs=["l", "m"])
 
 
 def test_platt(spark):
@@ -171,6 +204,34 @@ def test_platt(spark):
     assert same == pytest.approx(1.25, abs=1e-5)
 
 
+def test_platt_of_separable_and_far_scores(spark):
+    """Plain Newton overshoots on the first group; the second has no finite optimum."""
+    rows = [("far", x, y) for x, y in ((-30.0, 0), (-20.0, 1), (0.0, 0), (25.0, 1), (40.0, 1))] + [("apart", float(x), int(x > 0)) for x in (-2, -1, 1, 2)]
+    frame = spark.createDataFrame(rows, "action string, score double, y int")
+    got = {r["action"]: r for r in calibrate.fit_platt(frame).collect()}
+    a, b = got["far"]["a"], got["far"]["b"]
+    errors = [(y - 1 / (1 + math.exp(-(a * x + b))), x) for k, x, y in rows if k == "far"]
+    assert abs(sum(e for e, _ in errors)) < 1e-6 and abs(sum(e * x for e, x in errors)) < 1e-5
+    assert got["apart"]["a"] > 3 and math.isfinite(got["apart"]["a"])
+
+
+def test_cross_fit_averages_repeated_folds_first(spark):
+    """Two folds, one row in both: its mean margin is calibrated by its last fold's fit on the others."""
+    rows = [(k, "a", 0.4 * k + f, int((k * 7) % 10 < 2 + k), f) for k in range(8) for f in ([0, 1] if k == 3 else [k % 2])]
+    table = spark.createDataFrame(rows, "video_frame int, action string, score double, y int, fold int")
+    got = {r["video_frame"]: r for r in calibrate.cross_fit(table, ["video_frame"]).collect()}
+    assert len(got) == 8 and got[3]["score"] == pytest.approx(0.4 * 3 + 0.5) and got[3]["fold"] == 1
+    means = calibrate.mean_margins(table, ["video_frame"])
+    for f in (0, 1):
+        own = calibrate.fit_platt(means.where(F.col("fold") != f)).first()
+        for r in got.values():
+            if r["fold"] == f:
+                want = one(spark, exprs.platt(F.lit(r["score"]), F.lit(own["a"]), F.lit(own["b"]), F.lit(own["prior"])))
+                assert r["calibrated"] == pytest.approx(want, abs=1e-5)
+    with pytest.raises(ValueError, match="both classes"):
+        calibrate.cross_fit(table.withColumn("y", F.lit(1)), ["video_frame"])
+
+
 def test_dilation_clips_at_the_ends(spark):
     meta = spark.createDataFrame([(v, 20.0) for v in range(4)], "video_id int, frames_per_second float")
     rows = spark.createDataFrame([(1, 1, 2, f, "a" if f == 0 else "Nothing") for f in range(3)], "video_id int, agent_id int, target_id int, video_frame int, action string")
@@ -189,5 +250,8 @@ def test_grids_and_search():
     assert len(tune.sample_grid([1, 2], [3, 4, 5])) == 6 and tune.lag_grid([0.1])[0] == {"lag_sec": 0.1}
     best, trials = tune.tune_configurations(tune.lag_grid([0.1, 0.5, 0.2, 0.3]), lambda c: -abs(c["lag_sec"] - 0.45), patience=2)
     assert best == {"lag_sec": 0.5} and len(trials) == 4
+    assert tune.uniform_windows("L", ["a", "b"], ["v"]) == {"L": {"a": {"window_cols": ["v"]}, "b": {"window_cols": ["v"]}}}
+    report = tune.tune_laboratories({"L": tune.lag_grid([1, 2, 3]), "M": tune.lag_grid([5])}, lambda lab, c: c["lag_sec"] if lab == "M" else -c["lag_sec"], patience=1)
+    assert report == [{"lab_id": "L", "best": {"lag_sec": 1}, "score": -1.0, "trials": 2}, {"lab_id": "M", "best": {"lag_sec": 5}, "score": 5.0, "trials": 1}]
     best, trials = tune.random_search({"a": [1, 2, 3], "b": [0, 1]}, lambda c: c["a"] + c["b"], trials=6)
     assert best == {"a": 3, "b": 1} and len(trials) == 6

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sizes import broadcast_if_small
@@ -13,53 +12,26 @@ from ..functions.windows import ordered, run_number
 from .spine import NOTHING, PAIR
 
 
-def _balanced_split(videos: list[str], positive: set[str], k: int, rng: np.random.RandomState) -> list[list[str]]:
-    order, slots = rng.permutation(len(videos)), rng.permutation(len(videos))
-    folds: list[list[str]] = [[] for _ in range(k)]
-    for video, slot in zip(order, slots, strict=True):
-        folds[slot % k].append(videos[video])
-    count = lambda fold: sum(v in positive for v in fold)
-    for fold in folds:
-        richest = max(map(count, folds))
-        if count(fold) or not richest:
-            continue
-        donors = [f for f in folds if count(f) == richest]
-        donor = donors[rng.randint(len(donors))]
-        spare = [v for v in donor if v in positive]
-        moved = spare[rng.randint(len(spare))]
-        fold.append(moved)
-        donor.remove(moved)
-    return folds
+def seeded(seed: object, *columns: str | Column) -> Column:
+    """A draw for each row that SQL can repeat: the MD5 of the seed and the row's keys, joined by bars."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in columns]))
 
 
-def video_folds(videos: Sequence, positive: Sequence, k_folds: int, seed: int, num_models: int | None = None) -> list[list[str]]:
-    """Validation videos of each fold, with a positive video in every fold where there are enough.
+def make_folds(spine: DataFrame, action: str, k_folds: int, seed: int, num_models: int | None = None) -> DataFrame:
+    """(fold, video_id, role): recordings in the order of a seeded draw, those with the action first, dealt round robin.
 
-    ``num_models`` asks for that many folds from repeated partitions.
+    Each fold thus holds a recording with the action; there are no more folds than such recordings. ``num_models`` asks
+    for that many folds, from as many deals as they need. The table has a row per fold and recording.
     """
-    every, good = sorted({str(v) for v in videos}), {str(v) for v in positive}
-    k = max(1, min(k_folds, len(good), len(every)))
-    master = np.random.RandomState(seed)
-    if num_models is None:
-        return _balanced_split(every, good, k, master)
-    out: list[list[str]] = []
-    while len(out) < num_models:
-        out += _balanced_split(every, good, k, np.random.RandomState(master.randint(0, 2**31 - 1)))
-    return out[:num_models]
-
-
-def fold_table(spark: SparkSession, folds: list[list[str]], videos: Sequence) -> DataFrame:
-    """(fold, video_id, role): small, one row per fold and video."""
-    rows = [(i, str(v), "val" if str(v) in set(f) else "train") for i, f in enumerate(folds) for v in videos]
-    return spark.createDataFrame(rows, "fold int, video_id string, role string")
-
-
-def make_folds(spine: DataFrame, action: str, k_folds: int, seed: int, num_models: int | None = None) -> DataFrame:
-    """Fold table of the recordings of ``spine``; only the list of recordings reaches the driver."""
-    flags = spine.groupBy("video_id").agg(F.max((F.col("action") == action).cast("int")).alias("has")).collect()
-    videos = [r["video_id"] for r in flags]
-    folds = video_folds(videos, [r["video_id"] for r in flags if r["has"]], k_folds, seed, num_models)
-    return fold_table(spine.sparkSession, folds, videos)
+    videos = spine.groupBy(F.col("video_id").cast("string").alias("video_id")).agg(F.max((F.col("action") == action).cast("int")).alias("has"))
+    n, good = videos.agg(F.count(F.lit(1)), F.sum("has")).first()
+    k = max(1, min(k_folds, good or 0, n))
+    wanted = num_models or k
+    deals = videos.select("*", F.explode(F.sequence(F.lit(0), F.lit(-(-wanted // k) - 1))).alias("deal"))
+    order = Window.partitionBy("deal").orderBy(F.col("has").desc(), seeded(seed, "deal", "video_id"), "video_id")
+    own = deals.select("video_id", (F.col("deal") * k + (F.row_number().over(order) - 1) % k).alias("own"), "deal")
+    each = own.select("*", F.explode(F.sequence(F.col("deal") * k, F.least((F.col("deal") + 1) * k, F.lit(wanted)) - 1)).alias("fold"))
+    return each.select("fold", "video_id", F.when(F.col("own") == F.col("fold"), "val").otherwise("train").alias("role"))
 
 
 def group_folds(sizes: dict, n_splits: int) -> list[list]:
@@ -82,8 +54,7 @@ def negative_classes(spine: DataFrame, whitelist: DataFrame, action: str) -> Dat
 
 
 def _ranked(rows: DataFrame, by: Sequence[str], seed: int) -> tuple[DataFrame, Window]:
-    key = F.xxhash64(F.lit(seed), *[F.col(c) for c in ("video_id", "agent_id", "target_id", "video_frame", "action")])
-    order = Window.partitionBy(*by).orderBy(key, *PAIR, "video_frame", "action")
+    order = Window.partitionBy(*by).orderBy(seeded(seed, *PAIR, "video_frame", "action"), *PAIR, "video_frame", "action")
     return rows.withColumns({"__n": F.row_number().over(order), "__of": F.count(F.lit(1)).over(Window.partitionBy(*by))}), order
 
 

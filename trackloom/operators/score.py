@@ -49,25 +49,23 @@ def validation_report(solution: DataFrame, submission: DataFrame) -> DataFrame:
 
 
 def validate_for_scoring(solution: DataFrame, submission: DataFrame) -> None:
-    for df, columns, name in ((submission, SUBMISSION, "Submission"), (solution, SOLUTION, "Solution")):
+    """Raises on tables that cannot be scored, naming the columns or the number of rows at fault."""
+    tables = (("solution", solution, SOLUTION), ("submission", submission, SUBMISSION))
+    for name, df, columns in tables:
         if lacking := [c for c in columns if c not in df.columns]:
-            raise HostVisibleError(f"{name} is missing columns: {', '.join(lacking)}")
+            raise HostVisibleError(f"{name}: no column {', '.join(lacking)}")
     r = validation_report(solution, submission).first()
-    checks = [
-        (r["solution_rows"] == 0, "Empty solution is not allowed for scoring"),
-        (r["submission_rows"] == 0, "Empty submission is not allowed for scoring"),
-        (r["submission_missing"], "Submission contains NA in required columns"),
-        (r["solution_missing"], "Solution contains NA in required columns"),
-        (r["submission_empty"], "Submission has intervals with start_frame >= stop_frame"),
-        (r["solution_empty"], "Solution has intervals with start_frame >= stop_frame"),
-        (r["unknown_videos"], "Submission contains unknown video_id"),
-        (r["inconsistent_videos"], "Inconsistent behaviors_labeled within the same video_id"),
-        (r["submission_overlaps"], "Multiple predictions for the same frame in submission"),
-        (r["solution_overlaps"], "Multiple predictions for the same frame in solution"),
-    ]
-    for failed, message in checks:
-        if failed:
-            raise HostVisibleError(message)
+    for name, _, columns in tables:
+        if not r[f"{name}_rows"]:
+            raise HostVisibleError(f"{name}: no rows to score")
+        faults = {"missing": f"rows with a NULL among {', '.join(columns)}", "empty": "intervals that stop before they cover a frame", "overlaps": "intervals that overlap another of their pair"}
+        for fault, text in faults.items():
+            if n := r[f"{name}_{fault}"]:
+                raise HostVisibleError(f"{name}: {n} {text}")
+    if n := r["unknown_videos"]:
+        raise HostVisibleError(f"submission: {n} recordings that the solution lacks")
+    if n := r["inconsistent_videos"]:
+        raise HostVisibleError(f"solution: {n} recordings with more than one list in behaviors_labeled")
 
 
 def interval_overlap(a: DataFrame, b: DataFrame, keys: list[str], name: str = "overlap") -> DataFrame:

@@ -1,12 +1,13 @@
 """The driver's tables bound to the engine's schemas, for Spark; :mod:`.oracle` has the same in DuckDB.
 
 Scores: one per recording, pair, hour and event type. Tracks: eight body parts of two mice from the
-embedding vectors, with missing frames and parts.
+embedding vectors, with missing frames and parts. Every event and every vector is read: truth and predictions
+differ in the values of some events, and missing points are NULL.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import parse, post, spine
@@ -20,10 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scores(spark: SparkSession, sf_dir: str, without: int | None = None) -> DataFrame:
-    """Frame scores; ``without`` leaves out event ids of that remainder modulo 3, so that truth and predictions differ."""
+def scores(spark: SparkSession, sf_dir: str, halved: int | None = None) -> DataFrame:
+    """Frame scores; events whose id leaves the remainder ``halved`` modulo 3 score half, so that truth and predictions differ."""
     e = table(spark, sf_dir, "events")
-    e = e if without is None else e.where(F.col("event_id") % 3 != without)
+    value = F.col("value") if halved is None else F.when(F.col("event_id") % 3 == halved, F.col("value") / 2).otherwise(F.col("value"))
     keys = [
         (F.col("user_id") % 2).cast("int").alias("lab_id"),
         (F.col("user_id") % 10).cast("int").alias("video_id"),
@@ -32,13 +33,18 @@ def scores(spark: SparkSession, sf_dir: str, without: int | None = None) -> Data
         F.col("event_type").alias("action"),
         F.expr("cast(timestampdiff(HOUR, timestamp_ntz'2024-01-01 00:00:00', ts) as int)").alias("video_frame"),
     ]
-    return e.groupBy(*keys).agg(F.max("value").cast("float").alias("score"))
+    return e.groupBy(*keys).agg(F.max(value).cast("float").alias("score"))
 
 
 def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(spark, sf_dir, 1)
 
 
+def scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions on the scale of the default threshold grid."""
+    return preds(spark, sf_dir).withColumn("score", ((F.col("score").cast("double") - 100) / 10).cast("float"))
+
+
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals of the truth's per-frame best action."""
     best = post.argmax_frames(scores(spark, sf_dir, 0), TRUTH_Z)
@@ -51,7 +57,8 @@ def submission(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["lab_id", "video_id", "agent_id", "target_id", "action"]
-    return preds(spark, sf_dir).select(*keys).distinct().where((F.col("video_id") + F.length("action")) % 4 != 0)
+    unseen = ((F.col("lab_id") == 0) & (F.col("action") == "error")) | ((F.col("lab_id") == 1) & (F.col("action") == "signup"))
+    return preds(spark, sf_dir).select(*keys).distinct().where(~unseen)
 
 
 def solution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,16 +66,17 @@ def solution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 37 != 5)
-    points = F.array(
-        *[
-            F.struct(F.lit(m).alias("mouse_id"), F.lit(i * 7 + m).alias("salt"), F.lit(part).alias("bodypart"), F.col("embedding")[k].alias("x"), F.col("embedding")[k + 1].alias("y"))
-            for m in (1, 2)
-            for i, part in enumerate(BODYPARTS)
-            for k in [(m - 1) * 16 + 2 * i]
-        ]
-    )
-    rows = e.select("vec_id", F.inline(points)).where((F.col("vec_id") + F.col("salt")) % 23 != 0)
+    """Every vector's points; those of some whole frames and some single parts are NULL."""
+    no_frame = F.col("vec_id") % 37 == 5
+
+    def point(m: int, i: int, part: str) -> Column:
+        k = (m - 1) * 16 + 2 * i
+        missing = no_frame | ((F.col("vec_id") + i * 7 + m) % 23 == 0)
+        x, y = (F.when(~missing, F.col("embedding")[at]).alias(axis) for axis, at in (("x", k), ("y", k + 1)))
+        return F.struct(F.lit(m).alias("mouse_id"), F.lit(part).alias("bodypart"), x, y)
+
+    points = F.array(*[point(m, i, part) for m in (1, 2) for i, part in enumerate(BODYPARTS)])
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.inline(points))
     return rows.select(F.expr("cast(vec_id div 100 as int)").alias("video_id"), "mouse_id", (F.col("vec_id") % 100).cast("int").alias("video_frame"), "bodypart", "x", "y")
 
 

@@ -6,16 +6,17 @@ aggregates), not from the Spark plans. Each query takes the common table express
 
 from __future__ import annotations
 
+from ..operators.tune import DEFAULT_GRID
 from .fixtures import BODYPARTS
-from .queries import Z_GRID
 
 K4 = "video_id, agent_id, target_id, video_frame"
 
 
-def _scores(name: str, where: str) -> str:
+def _scores(name: str, halved: int | None = None) -> str:
+    value = "value" if halved is None else f"case when event_id % 3 = {halved} then value / 2 else value end"
     return f"""{name} as (select cast(user_id % 2 as int) as lab_id, cast(user_id % 10 as int) as video_id, 1 as agent_id, cast(1 + user_id % 2 as int) as target_id,
-  event_type as action, cast(floor(epoch(ts - timestamp '2024-01-01') / 3600) as int) as video_frame, cast(max(value) as float) as score
-  from events where {where} group by all)"""
+  event_type as action, cast(floor(epoch(ts - timestamp '2024-01-01') / 3600) as int) as video_frame, cast(max({value}) as float) as score
+  from events group by all)"""
 
 
 def _best(name: str, source: str, where: str) -> str:
@@ -31,11 +32,12 @@ def _islands(name: str, source: str, keys: str = "lab_id, video_id, agent_id, ta
     group by {keys}, run, action having count(*) >= 2)"""
 
 
-SCORES = _scores("everything", "true")
-PREDS = _scores("preds", "event_id % 3 <> 1")
-TRUTH = ", ".join([_scores("truth", "event_id % 3 <> 0"), _best("truth_best", "truth", "score > 40"), _islands("a", "truth_best")])
+SCORES = _scores("everything")
+PREDS = _scores("preds", 1)
+TRUTH = ", ".join([_scores("truth", 0), _best("truth_best", "truth", "score > 40"), _islands("a", "truth_best")])
 SUB = ", ".join([_best("preds_best", "preds", "score > 20"), _islands("sub", "preds_best", names=True)])
-W = "w as (select distinct lab_id, video_id, agent_id, target_id, action from preds where (video_id + length(action)) % 4 <> 0)"
+W = "w as (select distinct lab_id, video_id, agent_id, target_id, action from preds where not (lab_id = 0 and action = 'error') and not (lab_id = 1 and action = 'signup'))"
+SCALED = "scaled as (select * exclude (score), cast((cast(score as double) - 100) / 10 as float) as score from preds)"
 SOL = """lists as (select video_id, to_json(list_sort(list(distinct 'mouse' || agent_id || ',mouse' || target_id || ',' || action))) as json from w group by video_id),
   sol as (select lab_id, video_id, 'mouse' || agent_id as agent_id, 'mouse' || target_id as target_id, action, start_frame, stop_frame,
     coalesce(cast(json as varchar), '[]') as behaviors_labeled from a left join lists using (video_id))"""
@@ -53,7 +55,8 @@ def _smooth(name: str, source: str, half: str, join: str = "") -> str:
 SMOOTH = _smooth("smooth", "preds", "(roll_frames // 2)", "left join dur d using (lab_id, action)").replace("s.* exclude (score)", "s.lab_id, s.video_id, s.agent_id, s.target_id, s.action, s.video_frame").replace("partition by video_id", "partition by s.video_id")
 
 _POINTS = " union all ".join(
-    f"select cast(vec_id // 100 as int) as video_id, {m} as mouse_id, cast(vec_id % 100 as int) as video_frame, '{p}' as bodypart, embedding[{(m - 1) * 16 + 2 * i + 1}] as x, embedding[{(m - 1) * 16 + 2 * i + 2}] as y from embeddings where vec_id % 37 <> 5 and (vec_id + {i * 7 + m}) % 23 <> 0"
+    f"""select cast(vec_id // 100 as int) as video_id, {m} as mouse_id, cast(vec_id % 100 as int) as video_frame, '{p}' as bodypart,
+    case when vec_id % 37 <> 5 and (vec_id + {i * 7 + m}) % 23 <> 0 then embedding[{(m - 1) * 16 + 2 * i + 1}] end as x, case when vec_id % 37 <> 5 and (vec_id + {i * 7 + m}) % 23 <> 0 then embedding[{(m - 1) * 16 + 2 * i + 2}] end as y from embeddings"""
     for m in (1, 2)
     for i, p in enumerate(BODYPARTS)
 )
@@ -105,14 +108,34 @@ def _six(*names: str) -> str:
     return ", ".join(f"round(cast({n} as double), 6) + 0.0 as {n}" for n in names)
 
 
+#: Rows of the spine with the class that a model of ``view`` takes them for.
+KINDS = """kinds as (select *, case when action = 'view' then 'positive' when action <> 'Nothing' or (video_id, agent_id, target_id) in (select (video_id, agent_id, target_id) from w where action = 'view') then 'real' else 'maybe' end as neg_class from spine)"""
+
+
+def _sampled(name: str, source: str, seed: int, by: str, kept: str) -> str:
+    """The first rows of each group by the seeded draw."""
+    draw = f"md5(concat_ws('|', '{seed}', {K4}, action))"
+    return f"""{name} as (select * from (select *, row_number() over (partition by {by} order by {draw}, {K4}, action) as place, count(*) over (partition by {by}) as held from {source}) where place <= {kept})"""
+
+
+def _folds(wanted: int | None) -> str:
+    """Three folds for ``view`` with the seed 42, or ``wanted`` ones from repeated deals."""
+    count = "k" if wanted is None else str(wanted)
+    return f"""seen as (select cast(video_id as varchar) as video_id, max(cast(action = 'view' as int)) as has from spine group by video_id),
+  size as (select cast(greatest(1, least(3, sum(has), count(*))) as int) as k from seen),
+  deals as (select *, cast(unnest(range(cast(ceil({count} / k) as int))) as int) as deal from seen, size),
+  dealt as (select *, deal * k + (row_number() over (partition by deal order by has desc, md5(concat_ws('|', '42', deal, video_id)), video_id) - 1) % k as own from deals),
+  folds as (select cast(f.fold as int) as fold, d.video_id, case when d.own = f.fold then 'val' else 'train' end as role from dealt d, (select unnest(range({count})) as fold from size) f where f.fold >= d.deal * d.k and f.fold < (d.deal + 1) * d.k)"""
+
+
 def _query(ctes: list[str] | str, body: str) -> str:
     return f"with {ctes if isinstance(ctes, str) else ', '.join(ctes)} {body}"
 
 
 def _tune(by: str, source: str, islands_by: str) -> list[str]:
-    grid = ", ".join(f"cast({z} as float)" for z in Z_GRID)
+    grid = ", ".join(f"cast({z} as float)" for z in DEFAULT_GRID)
     return [
-        f"bounds as (select {by}, min(score) as low, max(score) as high from preds group by {by})",
+        f"bounds as (select {by}, min(score) as low, max(score) as high from scaled group by {by})",
         f"fitting as (select *, list_filter([{grid}], lambda z: z >= low and z <= high) as zs from bounds)",
         f"cand as (select {by}, unnest(case when len(zs) > 0 then zs else [low] end) as z from fitting)",
         f"alive as (select s.*, c.z from {source} s join cand c using ({by}) where s.score > c.z)",
@@ -234,23 +257,32 @@ def oracle_sql() -> dict[str, str]:
     wide_values = _six(*[f"{axis}_{p}" for p in BODYPARTS for axis in "xy"])
     actions = ["click", "error", "purchase", "signup", "view"]
     pivot = "pv as (select " + K4 + ", " + ", ".join(f"max(case when action = '{a}' then score end) as {a}" for a in actions) + f" from preds group by {K4})"
-    tuned = [PREDS, TRUTH, W, SOL, ACTIVE, *_tune("lab_id, action", "preds", "lab_id, z, action, video_id, agent_id, target_id")]
+    tuned = [PREDS, SCALED, TRUTH, W, SOL, ACTIVE, *_tune("lab_id, action", "scaled", "lab_id, z, action, video_id, agent_id, target_id")]
     tuned[-2] = tuned[-2].replace("as target_id, action, min", "as target_id, min").replace("run, action having", "run having")
     best = lambda by, value, source: f"select {by}, round(cast(z as double), 6) + 0.0 as z_thr, round(cast(cast({value} as float) as double), 6) + 0.0 as score from {source} qualify row_number() over (partition by {by} order by {value} desc, z) = 1"
-    per_action = "scored as (select c.lab_id, c.action, c.z, coalesce(t.f_beta, 0) as f from cand c semi join sol using (lab_id, action) left join tried t on t.lab_id = c.lab_id and t.action = c.action and t.z = c.z)"
-    per_lab = [PREDS, TRUTH, W, SOL, ACTIVE, _best("top", "preds", "true"), *_tune("lab_id", "top", "lab_id, z, video_id, agent_id, target_id")]
-    lab_scored = "scored as (select c.lab_id, c.z, coalesce(avg(t.f_beta), 0) as f from cand c left join tried t on t.lab_id = c.lab_id and t.z = c.z group by all)"
-    allowed = "allowed as (select p.* from preds p where (video_id, agent_id, target_id, action) in (select (video_id, agent_id, target_id, action) from w) or action in ('unlabeled', 'Nothing'))"
+    per_action = "scored as (select c.lab_id, c.action, c.z, round(coalesce(t.f_beta, 0), 9) as f from cand c semi join sol using (lab_id, action) left join tried t on t.lab_id = c.lab_id and t.action = c.action and t.z = c.z)"
+    per_lab = [PREDS, SCALED, TRUTH, W, SOL, ACTIVE, _best("top", "scaled", "true"), *_tune("lab_id", "top", "lab_id, z, video_id, agent_id, target_id")]
+    lab_scored = "scored as (select c.lab_id, c.z, round(coalesce(avg(t.f_beta), 0), 9) as f from cand c left join tried t on t.lab_id = c.lab_id and t.z = c.z group by all)"
+    allowed = "allowed as (select p.* from {} p where (video_id, agent_id, target_id, action) in (select (video_id, agent_id, target_id, action) from w) or action in ('unlabeled', 'Nothing'))"
+    allowed, allowed_scaled = allowed.format("preds"), allowed.format("scaled")
     thr = "thr as (" + best("lab_id, action", "f", "scored").replace("round(cast(z as double), 6) + 0.0 as z_thr", "z as z_thr") + ")"
     submit_ctes = [
-        PREDS, TRUTH, W, SOL, ACTIVE, DURATIONS, allowed,
+        PREDS, SCALED, TRUTH, W, SOL, ACTIVE, DURATIONS, allowed_scaled,
         SMOOTH.replace("from preds s", "from allowed s"),
-        *[c.replace("from preds group", "from smooth group") for c in _tune("lab_id, action", "smooth", "lab_id, z, action, video_id, agent_id, target_id")],
+        *[c.replace("from scaled group", "from smooth group") for c in _tune("lab_id, action", "smooth", "lab_id, z, action, video_id, agent_id, target_id")],
         per_action, thr,
         _best("final", "(select s.* from smooth s join thr using (lab_id, action) where s.score > z_thr)", "true"),
         _islands("submitted", "final", "video_id, agent_id, target_id", names=True),
     ]
-    submit_ctes[12] = submit_ctes[12].replace("as target_id, action, min", "as target_id, min").replace("run, action having", "run having")
+    submit_ctes[13] = submit_ctes[13].replace("as target_id, action, min", "as target_id, min").replace("run, action having", "run having")
+    by_lab = [
+        PREDS, "scaled as (select * exclude (score, action), case when action = 'error' then 'Nothing' else action end as action, cast((cast(score as double) - 100) / 10 as float) as score from preds)", TRUTH, W, SOL, ACTIVE, allowed_scaled,
+        _smooth("smooth", "allowed", "1"), _best("top", "smooth", "true"),
+        *[c.replace("from scaled group", "from smooth group") for c in _tune("lab_id", "top", "lab_id, z, video_id, agent_id, target_id")],
+        lab_scored, "thr as (" + best("lab_id", "f", "scored").replace("round(cast(z as double), 6) + 0.0 as z_thr", "z as z_thr") + ")",
+        _best("final", "(select s.* from smooth s join thr using (lab_id) where s.score > z_thr)", "true"),
+        _islands("submitted", "final", "video_id, agent_id, target_id", names=True),
+    ]
     smooth3 = _smooth("sm", "everything", "1")
     raw_best, raw = _best("raw_best", "preds", "true"), _islands("raw", "raw_best", names=True)
     overlap_rows = "rows_ as (select video_id, agent_id, target_id, action, start_frame, stop_frame from a union all select video_id, agent_id, target_id, action, start_frame + 1, stop_frame + 2 from a)"
@@ -309,6 +341,11 @@ def oracle_sql() -> dict[str, str]:
         "single_mouse": _single_mouse(),
         "temporal_feats": _temporal(),
         "submit": _query(submit_ctes, "select * from submitted"),
+        "submit_per_lab": _query(by_lab, "select * from submitted"),
+        "evaluate_scores": _query(
+            [*submit_ctes, _best("raw_best", "scaled", "true"), _islands("raw", "raw_best", names=True), _fbeta("r", "raw"), _fbeta("p", "submitted")],
+            "select lab_id, action, round(r.f_beta, 6) + 0.0 as f_raw, round(p.f_beta, 6) + 0.0 as f_post from r join p using (lab_id, action)",
+        ),
         "solution_json": _query([PREDS, TRUTH, W, SOL], "select * from sol"),
         "overlap_check": _query([TRUTH, overlap_rows], flags("rows_")),
         "validate_report": _query(SCORED, f"select {report}, (select count(distinct video_id) from sub where video_id not in (select video_id from sol)) as unknown_videos, (select count(*) from (select video_id from sol group by video_id having count(distinct behaviors_labeled) > 1)) as inconsistent_videos"),
@@ -331,15 +368,29 @@ def oracle_sql() -> dict[str, str]:
             [PREDS],
             f"select action, round(-avg(case when y = 1 then ln(q) else ln(1 - q) end), 6) + 0.0 as log_loss from (select action, video_frame % 2 as y, {clip('1 / (1 + exp(-((cast(score as double) - 50) / 20)))')} as q from preds) group by action",
         ),
-        "neg_classes": _query(
-            FULL_SPINE,
-            """select video_id, case when action = 'view' then 'positive' when action <> 'Nothing' or (video_id, agent_id, target_id) in (select (video_id, agent_id, target_id) from w where action = 'view') then 'real' else 'maybe' end as neg_class,
-            count(*) as n_rows from spine group by all""",
+        "neg_classes": _query([FULL_SPINE, KINDS], f"select {K4}, action, neg_class from kinds"),
+        "sample_by_video": _query([FULL_SPINE, _sampled("taken", "spine", 1, "video_id", "floor(held * 30 / 100)")], f"select {K4}, action from taken"),
+        "sample_unlabelled": _query(
+            [FULL_SPINE, "unlabelled as (select * from spine where action = 'Nothing')", _sampled("taken", "unlabelled", 1, "video_id, agent_id, target_id", "greatest(floor(held * 10 / 100), 1)")],
+            f"select {K4}, action from spine where action <> 'Nothing' union all select {K4}, action from taken",
         ),
-        "sample_counts": _query(
-            FULL_SPINE,
-            """select v.video_id, cast(floor(v.n * 30 / 100) as bigint) as n_video, cast(v.labelled + coalesce(p.pairs, 0) as bigint) as n_pair from (select video_id, count(*) as n, count(*) filter (action <> 'Nothing') as labelled from spine group by all) v
-            left join (select video_id, count(distinct (agent_id, target_id)) as pairs from spine where action = 'Nothing' group by all) p using (video_id)""",
+        "fold_membership": _query([FULL_SPINE, _folds(7)], "select fold, video_id, role from folds"),
+        "fold_rows": _query(
+            [
+                FULL_SPINE,
+                KINDS,
+                _folds(None),
+                "own as (select k.* exclude (video_id), cast(k.video_id as varchar) as video_id from kinds k semi join (select * from folds where fold = 0 and role = 'train') f on cast(k.video_id as varchar) = f.video_id)",
+                "sure as (select * from own where neg_class = 'real')",
+                "unsure as (select * from own where neg_class = 'maybe')",
+                _sampled("half", "sure", 5, "video_id", "floor(held * 50 / 100)"),
+                _sampled("fifth", "unsure", 5, "video_id", "floor(held * 20 / 100)"),
+            ],
+            " union all ".join(f"select {K4}, action, neg_class from {t}" for t in ("own where neg_class = 'positive'", "half", "fifth")),
+        ),
+        "augmented_train": _query(
+            [FULL_SPINE, _folds(None)],
+            f"select {K4}, action, false as aug from spine union all select {K4}, action, true as aug from spine where cast(video_id as varchar) not in (select video_id from folds where fold = 0 and role = 'val')",
         ),
         "run_weights": _query(
             [
@@ -352,14 +403,30 @@ def oracle_sql() -> dict[str, str]:
             f"select {K4}, action, round(case when y then w * (select count(w) / sum(w) from q) else 1 end, 6) + 0.0 as weight from q",
         ),
         "pseudo_mask": _query(
-            [FULL_SPINE, _scores("third", "event_id % 3 <> 2"), _best("ps", "third", "score > 30")],
+            [FULL_SPINE, _scores("third", 2), _best("ps", "third", "score > 30")],
             f"""select distinct s.video_id, s.agent_id, s.target_id, s.video_frame, p.action as pseudo_action from spine s join ps p using ({K4}) where s.action = 'Nothing'
             and (s.video_id, s.agent_id, s.target_id, p.action) not in (select (video_id, agent_id, target_id, action) from w where action <> 'view')""",
         ),
+        "pseudo_labels": _query(
+            [
+                FULL_SPINE,
+                _scores("third", 2),
+                _best("ps", "third", "score > 30"),
+                "looked as (select distinct video_id, agent_id, target_id, action from w where action <> 'view')",
+                f"mask as (select distinct {K4} from ps where action = 'view' and (video_id, agent_id, target_id) not in (select (video_id, agent_id, target_id) from looked where action = 'view'))",
+            ],
+            f"select {K4}, case when m.hit and action = 'Nothing' then 'view' else action end as action, case when m.hit and action = 'Nothing' then cast(0.25 as double) else cast(1 as double) end as weight from spine left join (select *, true as hit from mask) m using ({K4})",
+        ),
         "dilate_labels": _query(
             FULL_SPINE,
-            f"""select video_id, near_label, count(*) as n_rows from (select video_id, coalesce(case when video_id in (select video_id from meta) then max(cast(action <> 'Nothing' as int)) over (partition by video_id, agent_id, target_id order by video_frame, action
-            rows between ({dilated}) preceding and ({dilated}) following) = 1 end, false) as near_label from spine) group by all""",
+            f"""select {K4}, action, coalesce(case when video_id in (select video_id from meta) then max(cast(action <> 'Nothing' as int)) over (partition by video_id, agent_id, target_id order by video_frame, action
+            rows between ({dilated}) preceding and ({dilated}) following) = 1 end, false) as near_label from spine""",
+        ),
+        "fill_zeros": _query(
+            FULL_SPINE,
+            "select s.*, "
+            + ", ".join(f"round(cast(coalesce({r}.{c}, 0) as double), 6) + 0.0 as {p}_{c}" for r, p, c in (("a", "ag", "x_nose"), ("a", "ag", "y_neck"), ("t", "tg", "x_neck"), ("t", "tg", "y_tail_base")))
+            + " from (select * replace (coalesce(video_frame, 0) as video_frame) from spine) s left join wide a on a.video_id = s.video_id and a.mouse_id = s.agent_id and a.video_frame = s.video_frame left join wide t on t.video_id = s.video_id and t.mouse_id = s.target_id and t.video_frame = s.video_frame",
         ),
         "bidir_fill": _query(
             [DT, "f as (select d.*, a.x_nose, t.y_tail_base from dt d left join wide a on a.video_id = d.video_id and a.mouse_id = d.agent_id and a.video_frame = d.video_frame left join wide t on t.video_id = d.video_id and t.mouse_id = d.target_id and t.video_frame = d.video_frame)"],
@@ -370,7 +437,11 @@ def oracle_sql() -> dict[str, str]:
         "grid_expand": "select cast(neg as double) as neg, cast(unl as double) as unl from (values (10), (20), (50)) a(neg), (values (0), (5)) b(unl)",
         "stream_intervals": _query([PREDS, _best("preds_best", "preds", "score > 20"), _islands("i", "preds_best")], "select * exclude (lab_id) from i"),
         "long_smoothing": _query(
-            ["days as (select distinct cast(l_suppkey % 10 as int) as video_id, l_returnflag || l_linestatus as action, date_diff('day', date '1990-01-01', cast(l_shipdate as date)) as video_frame from lineitem)"],
-            "select video_id, action, count(*) as n_rows, cast(min(video_frame) as int) as first_frame, cast(max(video_frame) as int) as last_frame from days group by all",
+            [
+                """days as (select cast(l_suppkey % 10 as int) as video_id, l_returnflag || l_linestatus as action, cast(date_diff('day', date '1990-01-01', cast(l_shipdate as date)) as int) as video_frame,
+                cast(floor(max(l_extendedprice)) as float) as score from lineitem group by all)"""
+            ],
+            """select video_id, action, video_frame, round(cast(case when count(score) over w = 201 then cast(avg(cast(score as double)) over w as float) else score end as double), 6) + 0.0 as score
+            from days window w as (partition by video_id, action order by video_frame rows between 100 preceding and 100 following)""",
         ),
     }

@@ -10,7 +10,6 @@ from ..operators import augment, calibrate, geometry, kinematics, model, parse,
 from . import dataset
 from . import fixtures as fx
 
-Z_GRID = [float(z) for z in range(0, 100, 5)]
 FILL = ["x_nose", "y_tail_base"]
 K4 = ["video_id", "agent_id", "target_id", "video_frame"]
 
@@ -123,7 +122,7 @@ def temporal_feats(s: SparkSession, d: str) -> DataFrame:
 
 
 def submit(s: SparkSession, d: str) -> DataFrame:
-    out, _ = tune.prepare_submit(fx.preds(s, d), fx.whitelist(s, d), parse.action_durations(fx.annotations(s, d)), fx.solution(s, d), Z_GRID)
+    out, _ = tune.prepare_submit(fx.scaled(s, d), fx.whitelist(s, d), parse.action_durations(fx.annotations(s, d)), fx.solution(s, d), tune.DEFAULT_GRID)
     return out
 
 
@@ -164,11 +163,11 @@ def raw_vs_post_scores(s: SparkSession, d: str) -> DataFrame:
 
 
 def tune_z(s: SparkSession, d: str) -> DataFrame:
-    return six(tune.tune_per_action(fx.preds(s, d), fx.solution(s, d), Z_GRID))
+    return six(tune.tune_per_action(fx.scaled(s, d), fx.solution(s, d), tune.DEFAULT_GRID))
 
 
 def tune_z_per_lab(s: SparkSession, d: str) -> DataFrame:
-    return six(tune.tune_per_lab(fx.preds(s, d), fx.solution(s, d), Z_GRID))
+    return six(tune.tune_per_lab(fx.scaled(s, d), fx.solution(s, d), tune.DEFAULT_GRID))
 
 
 def _platt_table(s: SparkSession, d: str) -> DataFrame:
@@ -193,19 +192,33 @@ def logloss(s: SparkSession, d: str) -> DataFrame:
 
 
 def neg_classes(s: SparkSession, d: str) -> DataFrame:
-    rows = sampling.negative_classes(fx.labelled_spine(s, d), fx.whitelist(s, d), "view")
-    return rows.groupBy("video_id", "neg_class").agg(F.count(F.lit(1)).alias("n_rows"))
+    return sampling.negative_classes(fx.labelled_spine(s, d), fx.whitelist(s, d), "view")
 
 
-def sample_counts(s: SparkSession, d: str) -> DataFrame:
-    rows = fx.labelled_spine(s, d)
-    by_video = sampling.sample_by_video(rows, 30, 1).groupBy("video_id").agg(F.count(F.lit(1)).alias("n_video"))
-    by_recording = sampling.sample_unlabelled(rows, 0, 1).groupBy("video_id").agg(F.count(F.lit(1)).alias("n_pair"))
-    return rows.select("video_id").distinct().join(by_video, "video_id", "left").join(by_recording, "video_id", "left").fillna(0)
+def sample_by_video(s: SparkSession, d: str) -> DataFrame:
+    return sampling.sample_by_video(fx.labelled_spine(s, d), 30, 1)
+
+
+def sample_unlabelled(s: SparkSession, d: str) -> DataFrame:
+    return sampling.sample_unlabelled(fx.labelled_spine(s, d), 10, 1)
 
 
 def fold_membership(s: SparkSession, d: str) -> DataFrame:
-    return sampling.make_folds(fx.labelled_spine(s, d), "view", 3, 42)
+    return sampling.make_folds(fx.labelled_spine(s, d), "view", 3, 42, num_models=7)
+
+
+def fold_rows(s: SparkSession, d: str) -> DataFrame:
+    """Training rows of the first fold: all positives, half of the real negatives, a fifth of the others."""
+    rows = fx.labelled_spine(s, d)
+    return sampling.fold_rows(rows, fx.whitelist(s, d), sampling.make_folds(rows, "view", 3, 42), 0, "view", 50, 20, 5)["train"]
+
+
+def augmented_train(s: SparkSession, d: str) -> DataFrame:
+    """Augmented copies of a fold's validation recordings leave its training rows."""
+    rows = fx.labelled_spine(s, d)
+    valid = sampling.make_folds(rows, "view", 3, 42).where("fold = 0 and role = 'val'").select(F.col("video_id").cast("int").alias("video_id"))
+    both = rows.withColumn("aug", F.lit(False)).unionByName(rows.withColumn("aug", F.lit(True)))
+    return sampling.augmented_train_only(both, valid)
 
 
 def run_weights(s: SparkSession, d: str) -> DataFrame:
@@ -222,9 +235,33 @@ def pseudo_mask(s: SparkSession, d: str) -> DataFrame:
     return sampling.pseudo_mask(fx.labelled_spine(s, d), _pseudo(s, d), allowed)
 
 
+def pseudo_labels(s: SparkSession, d: str) -> DataFrame:
+    """Masked rows take the action; their weight is that of pseudo-labels."""
+    rows = fx.labelled_spine(s, d).withColumn("weight", F.lit(1.0))
+    return sampling.relabel(rows, pseudo_mask(s, d), "view", 0.25)
+
+
 def dilate_labels(s: SparkSession, d: str) -> DataFrame:
-    out = augment.dilate_labels(fx.labelled_spine(s, d), fx.meta(s, d), 0.2)
-    return out.groupBy("video_id", "near_label").agg(F.count(F.lit(1)).alias("n_rows"))
+    return augment.dilate_labels(fx.labelled_spine(s, d), fx.meta(s, d), 0.2).select(*K4, "action", "near_label")
+
+
+def fill_zeros(s: SparkSession, d: str) -> DataFrame:
+    full = spine.pair_spine(fx.wide(s, d), spine.expand_to_frames(fx.annotations(s, d)), fx.whitelist(s, d))
+    return six(spine.fill_missing(full, "zeros").select(*K4, "action", "ag_x_nose", "ag_y_neck", "tg_x_neck", "tg_y_tail_base"))
+
+
+def submit_per_lab(s: SparkSession, d: str) -> DataFrame:
+    """Scores with a background action: one threshold per laboratory."""
+    preds = fx.scaled(s, d).withColumn("action", F.when(F.col("action") == "error", spine.NOTHING).otherwise(F.col("action")))
+    out, _ = tune.prepare_submit(preds, fx.whitelist(s, d), 3, fx.solution(s, d), tune.DEFAULT_GRID)
+    return out
+
+
+def evaluate_scores(s: SparkSession, d: str) -> DataFrame:
+    """F-beta of the plain argmax and of the tuned intervals, by laboratory and action."""
+    found = dataset.evaluate(fx.scaled(s, d), fx.solution(s, d), fx.whitelist(s, d), parse.action_durations(fx.annotations(s, d)), tune.DEFAULT_GRID)
+    raw, done = (found[k]["all_stats"].select("lab_id", "action", F.col("f_beta").alias(n)) for k, n in (("raw", "f_raw"), ("postproc", "f_post")))
+    return six(raw.join(done, ["lab_id", "action"]))
 
 
 def bidir_fill(s: SparkSession, d: str) -> DataFrame:
@@ -256,10 +293,11 @@ def stream_intervals(s: SparkSession, d: str) -> DataFrame:
 
 
 def long_smoothing(s: SparkSession, d: str) -> DataFrame:
-    """Running-sum windows over a long history: line items as frames of ten recordings."""
+    """Running-sum windows over a long history: line items as frames of ten recordings, whole prices as scores."""
     days = F.expr("cast(datediff(cast(l_shipdate as date), date'1990-01-01') as int)")
-    rows = fx.table(s, d, "lineitem").groupBy(F.lit(0).alias("lab_id"), (F.col("l_suppkey") % 10).cast("int").alias("video_id"), F.lit(1).alias("agent_id"), F.lit(1).alias("target_id"), F.concat("l_returnflag", "l_linestatus").alias("action"), days.alias("video_frame")).agg(F.max("l_extendedprice").cast("float").alias("score"))
-    return six(post.smooth_scores(rows, 201).withColumn("score", F.round(F.col("score") / 100, 0).cast("double")).groupBy("video_id", "action").agg(F.count("score").alias("n_rows"), F.min("video_frame").alias("first_frame"), F.max("video_frame").alias("last_frame")))
+    keys = [F.lit(0).alias("lab_id"), (F.col("l_suppkey") % 10).cast("int").alias("video_id"), F.lit(1).alias("agent_id"), F.lit(1).alias("target_id"), F.concat("l_returnflag", "l_linestatus").alias("action"), days.alias("video_frame")]
+    rows = fx.table(s, d, "lineitem").groupBy(*keys).agg(F.floor(F.max("l_extendedprice")).cast("float").alias("score"))
+    return six(post.smooth_scores(rows, 201).select("video_id", "action", "video_frame", "score"))
 
 
 def build_dataset(s: SparkSession, d: str) -> DataFrame:
@@ -283,16 +321,16 @@ def gbt_oof(s: SparkSession, d: str) -> DataFrame:
     wide = _wide_scores(s, d)[0].fillna(0)
     truth = post.argmax_frames(fx.scores(s, d, 0), fx.TRUTH_Z).select(*K4, "action")
     rows = wide.join(truth, K4, "left").withColumn("action", F.coalesce("action", F.lit(spine.NOTHING)))
-    heads = model.BoostedHeads(["click"], ["click", "view", "error"], folds=2, params={"maxIter": 3, "maxDepth": 3}, use_weights=True)
-    # whitelisted pairs act on another mouse only where target and agent differ
-    return heads.fit(rows.where("agent_id <> target_id"), fx.whitelist(s, d))["oof"]
+    actions = ["click", "error", "purchase", "signup", "view"]
+    heads = model.BoostedHeads(actions, actions, folds=2, params={"maxIter": 5, "maxDepth": 3}, use_weights=True)
+    return heads.fit(rows, fx.whitelist(s, d))["oof"]
 
 
 ALL = (
     intervals, smooth_scores, argmax_filter, whitelist_filter, melt_scores, wide_scores_pivot, whitelist_parse, bodypart_intersection, action_duration, expand_intervals,
-    tracks_wide, pair_spine, normalize_coords, body_geometry, ear_gap, pair_distances, lag_structure, lagged_rates, invariants, single_mouse, temporal_feats, submit,
+    tracks_wide, pair_spine, normalize_coords, body_geometry, ear_gap, pair_distances, lag_structure, lagged_rates, invariants, single_mouse, temporal_feats, submit, submit_per_lab, evaluate_scores,
     solution_json, overlap_check, validate_report, interval_overlap, fbeta_by_action, fbeta_macro, raw_vs_post_scores, tune_z, tune_z_per_lab, platt_apply, prob_to_logit,
-    logloss, neg_classes, sample_counts, fold_membership, run_weights, pseudo_mask, dilate_labels, bidir_fill, class_counts, class_encode, grid_expand, stream_intervals,
+    logloss, neg_classes, sample_by_video, sample_unlabelled, fold_membership, fold_rows, augmented_train, run_weights, pseudo_mask, pseudo_labels, dilate_labels, fill_zeros, bidir_fill, class_counts, class_encode, grid_expand, stream_intervals,
     long_smoothing, build_dataset, augment_rows, platt_fit, gbt_oof,
 )
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+
 from ..functions.sizes import broadcast_if_small
 
 META = "lab_id string, video_id string, frames_per_second float, pix_per_cm_approx float, body_parts_tracked string, behaviors_labeled string"
@@ -19,11 +21,9 @@ DROPPED_ACTIONS = ("ejaculate",)
 
 def file_stem() -> Column:
     """Name of the file a row comes from, without its suffix: recordings are files."""
-    return F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
-
-
-def parent_folder() -> Column:
-    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    # the name comes as part of a URL, in which a plus sign stands for itself
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(name, r"\.[^.]*$", "")
 
 
 def _typed_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -34,27 +34,40 @@ def _typed_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_meta(spark: SparkSession, path: str) -> DataFrame:
-    """Metadata CSV; a missing list of behaviours is an empty one. One row per recording is enforced."""
-    meta = _typed_csv(spark, path, META).withColumn("behaviors_labeled", F.coalesce("behaviors_labeled", F.lit("[]")))
-    return meta.dropDuplicates(["video_id"])
+    """Metadata CSV; a missing list of behaviours is an empty one. Equal rows are one, different rows of a recording an error."""
+    meta = _typed_csv(spark, path, META).withColumn("behaviors_labeled", F.coalesce("behaviors_labeled", F.lit("[]"))).distinct()
+    rows = F.count(F.lit(1)).over(Window.partitionBy("video_id"))
+    clash = F.raise_error(F.concat(F.lit("different metadata rows of recording "), F.coalesce("video_id", F.lit("NULL"))))
+    return meta.withColumn("__n", rows).withColumn("video_id", F.when(F.col("__n") > 1, clash).otherwise(F.col("video_id"))).drop("__n")
+
+
+def _require_files(rows: DataFrame, what: str) -> DataFrame:
+    if not rows.inputFiles():
+        raise FileNotFoundError(f"no parquet file of {what}")
+    return rows
 
 
 def read_annotations(spark: SparkSession, folder: str, meta: DataFrame) -> DataFrame:
-    """Parquet annotations under ``folder`` with recording (file stem) and laboratory."""
+    """Parquet annotations anywhere under ``folder`` with recording (file stem) and laboratory. Rows without an action stay."""
     rows = spark.read.schema(ANNOTATION).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(folder)
-    rows = rows.select(file_stem().alias("video_id"), "*").where(~F.col("action").isin(*DROPPED_ACTIONS))
+    dropped = F.coalesce(F.col("action").isin(*DROPPED_ACTIONS), F.lit(False))
+    rows = _require_files(rows, f"annotations under {folder}").select(file_stem().alias("video_id"), "*").where(~dropped)
     return rows.join(broadcast_if_small(meta.select("video_id", "lab_id")), "video_id", "left")
 
 
 def read_tracks(spark: SparkSession, folder: str, lab: str, bodyparts: Sequence[str] | None = None, frames: DataFrame | None = None, videos: Sequence[str] | None = None) -> DataFrame:
-    """One laboratory's long tracks. ``videos`` prunes files by name; ``frames`` keeps (video_id, mouse_id, video_frame)."""
-    reader = spark.read.schema(TRACK)
+    """One laboratory's long tracks, from files anywhere under its folder.
+
+    ``videos`` prunes files by name; a listed recording without a file is left out. ``frames`` keeps (video_id, mouse_id,
+    video_frame). That nothing is found is an error.
+    """
+    names = "*"
     if videos is not None:
         if not videos:
             raise ValueError("no recordings to read")
-        rows = reader.parquet(*[f"{folder}/{lab}/{v}.parquet" for v in sorted({str(v) for v in videos})])
-    else:
-        rows = reader.option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{lab}")
+        names = "{" + ",".join(re.sub(r"([\\*?\[\]{},])", r"\\\1", str(v)) for v in sorted({str(v) for v in videos})) + "}"
+    reader = spark.read.schema(TRACK).option("recursiveFileLookup", True).option("pathGlobFilter", f"{names}.parquet")
+    rows = _require_files(reader.parquet(f"{folder}/{lab}"), f"tracks of {lab}")
     rows = rows.select(file_stem().alias("video_id"), "mouse_id", "video_frame", "bodypart", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("x", "y")])
     if bodyparts is not None:
         rows = rows.where(F.col("bodypart").isin(*bodyparts))

@@ -23,7 +23,7 @@ def write_small_csv(table: DataFrame, path: str) -> None:
     table.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def flatten(value: Mapping[str, Any], prefix: str = "", sep: str = ".") -> dict[str, Any]:
+def flatten(value: Mapping[str, Any], prefix: str = "", sep: str = "_") -> dict[str, Any]:
     """Nested mapping to one level; lists become comma-joined text."""
     out: dict[str, Any] = {}
     for key, v in value.items():
@@ -38,7 +38,7 @@ def flatten(value: Mapping[str, Any], prefix: str = "", sep: str = ".") -> dict[
 def append_run_log(spark: SparkSession, path: str, lab: str, params: Mapping[str, Any], n_features: int, scores: Mapping[str, float]) -> None:
     """One row per run; columns that earlier rows lack are merged when read."""
     row = {"lab_id": lab, "n_features": n_features} | {k: v if v is None or isinstance(v, (int, float, bool)) else str(v) for k, v in flatten(params).items()} | {k: round(float(v), 4) for k, v in scores.items()}
-    row = {k.replace(".", "_"): float(v) if isinstance(v, int) and not isinstance(v, bool) else v for k, v in row.items() if v is not None}
+    row = {k: float(v) if isinstance(v, int) and not isinstance(v, bool) else v for k, v in row.items() if v is not None}
     spark.createDataFrame([row]).write.mode("append").parquet(path)
 
 
@@ -46,6 +46,19 @@ def read_run_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(path)
 
 
+def append_trial(path: str, row: Mapping[str, Any]) -> None:
+    """One trial of a search as a line of a CSV on the driver; a header only where the file is new."""
+    import csv
+    import os
+
+    new = not os.path.exists(path)
+    with open(path, "a", newline="") as f:
+        out = csv.writer(f)
+        if new:
+            out.writerow(row)
+        out.writerow(row.values())
+
+
 def upsert_params(path: str, model: str, lab: str, params: Mapping[str, Any]) -> dict:
     """Merge best parameters below model and laboratory of a YAML file on the driver."""
     import os
