@@ -110,3 +110,10 @@ def labelled_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracked frames of whitelisted pairs with the annotations' labels."""
     labels = spine.expand_to_frames(annotations(spark, sf_dir))
     return spine.pair_spine(wide(spark, sf_dir), labels, whitelist(spark, sf_dir), coordinates=False)
+
+
+def frame_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every scored frame of ten recordings with the truth's best action, or ``Nothing`` where that scores low."""
+    best = post.argmax_frames(scores(spark, sf_dir, 0))
+    action = F.when(F.col("score") > TRUTH_Z, F.col("action")).otherwise(spine.NOTHING)
+    return best.select(*spine.PAIR, "video_frame", action.alias("action"))

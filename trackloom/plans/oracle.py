@@ -83,6 +83,7 @@ SPINE = """spine as (select p.video_id, p.agent_id, p.target_id, f.video_frame,
   from (select distinct video_id, agent_id, target_id from w) p left join (select distinct video_id, video_frame from wide) f using (video_id)
   left join labels_f l on l.video_id = p.video_id and l.agent_id = p.agent_id and l.target_id = p.target_id and l.video_frame = f.video_frame)"""
 FULL_SPINE = ", ".join([PREDS, TRUTH, W, LABELS, WIDE, META, SPINE])
+FRAMES = ", ".join([PREDS, TRUTH, W, _best("every", "truth", "true"), f"spine as (select {K4}, case when score > 40 then action else 'Nothing' end as action from every)"])
 SCORED = ", ".join([PREDS, TRUTH, SUB, W, SOL, ACTIVE])
 
 
@@ -369,15 +370,15 @@ def oracle_sql() -> dict[str, str]:
             f"select action, round(-avg(case when y = 1 then ln(q) else ln(1 - q) end), 6) + 0.0 as log_loss from (select action, video_frame % 2 as y, {clip('1 / (1 + exp(-((cast(score as double) - 50) / 20)))')} as q from preds) group by action",
         ),
         "neg_classes": _query([FULL_SPINE, KINDS], f"select {K4}, action, neg_class from kinds"),
-        "sample_by_video": _query([FULL_SPINE, _sampled("taken", "spine", 1, "video_id", "floor(held * 30 / 100)")], f"select {K4}, action from taken"),
+        "sample_by_video": _query([FRAMES, _sampled("taken", "spine", 1, "video_id", "floor(held * 30 / 100)")], f"select {K4}, action from taken"),
         "sample_unlabelled": _query(
-            [FULL_SPINE, "unlabelled as (select * from spine where action = 'Nothing')", _sampled("taken", "unlabelled", 1, "video_id, agent_id, target_id", "greatest(floor(held * 10 / 100), 1)")],
+            [FRAMES, "unlabelled as (select * from spine where action = 'Nothing')", _sampled("taken", "unlabelled", 1, "video_id, agent_id, target_id", "greatest(floor(held * 10 / 100), 1)")],
             f"select {K4}, action from spine where action <> 'Nothing' union all select {K4}, action from taken",
         ),
-        "fold_membership": _query([FULL_SPINE, _folds(7)], "select fold, video_id, role from folds"),
+        "fold_membership": _query([FRAMES, _folds(7)], "select fold, video_id, role from folds"),
         "fold_rows": _query(
             [
-                FULL_SPINE,
+                FRAMES,
                 KINDS,
                 _folds(None),
                 "own as (select k.* exclude (video_id), cast(k.video_id as varchar) as video_id from kinds k semi join (select * from folds where fold = 0 and role = 'train') f on cast(k.video_id as varchar) = f.video_id)",
@@ -389,7 +390,7 @@ def oracle_sql() -> dict[str, str]:
             " union all ".join(f"select {K4}, action, neg_class from {t}" for t in ("own where neg_class = 'positive'", "half", "fifth")),
         ),
         "augmented_train": _query(
-            [FULL_SPINE, _folds(None)],
+            [FRAMES, _folds(None)],
             f"select {K4}, action, false as aug from spine union all select {K4}, action, true as aug from spine where cast(video_id as varchar) not in (select video_id from folds where fold = 0 and role = 'val')",
         ),
         "run_weights": _query(

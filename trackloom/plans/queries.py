@@ -196,26 +196,26 @@ def neg_classes(s: SparkSession, d: str) -> DataFrame:
 
 
 def sample_by_video(s: SparkSession, d: str) -> DataFrame:
-    return sampling.sample_by_video(fx.labelled_spine(s, d), 30, 1)
+    return sampling.sample_by_video(fx.frame_labels(s, d), 30, 1)
 
 
 def sample_unlabelled(s: SparkSession, d: str) -> DataFrame:
-    return sampling.sample_unlabelled(fx.labelled_spine(s, d), 10, 1)
+    return sampling.sample_unlabelled(fx.frame_labels(s, d), 10, 1)
 
 
 def fold_membership(s: SparkSession, d: str) -> DataFrame:
-    return sampling.make_folds(fx.labelled_spine(s, d), "view", 3, 42, num_models=7)
+    return sampling.make_folds(fx.frame_labels(s, d), "view", 3, 42, num_models=7)
 
 
 def fold_rows(s: SparkSession, d: str) -> DataFrame:
     """Training rows of the first fold: all positives, half of the real negatives, a fifth of the others."""
-    rows = fx.labelled_spine(s, d)
+    rows = fx.frame_labels(s, d)
     return sampling.fold_rows(rows, fx.whitelist(s, d), sampling.make_folds(rows, "view", 3, 42), 0, "view", 50, 20, 5)["train"]
 
 
 def augmented_train(s: SparkSession, d: str) -> DataFrame:
     """Augmented copies of a fold's validation recordings leave its training rows."""
-    rows = fx.labelled_spine(s, d)
+    rows = fx.frame_labels(s, d)
     valid = sampling.make_folds(rows, "view", 3, 42).where("fold = 0 and role = 'val'").select(F.col("video_id").cast("int").alias("video_id"))
     both = rows.withColumn("aug", F.lit(False)).unionByName(rows.withColumn("aug", F.lit(True)))
     return sampling.augmented_train_only(both, valid)
