@@ -4,8 +4,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from trackloom.functions.tables import Scratch, work_root
 from trackloom.llm import lsm_dedup
-from trackloom.llm.common import Scratch, work_root
 
 from .helpers import AWKWARD, documents
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -12,58 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.tables import Scratch, materialise  # noqa: F401
+
 #: A key that holds more than one row in so many counts as hot: fewer keys than this can.
 HOT_SHARE = 1000
 _SPACES = " \n\t\r\x0b\x0c"
 
 
-def work_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where the session names none, a local master gets a temporary one; a cluster has no such folder, so that is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='trackloom-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def work_path(spark: SparkSession, label: str) -> str:
-    return f"{work_root(spark)}/trackloom-{label}-{uuid.uuid4().hex}"
-
-
-def _write(df: DataFrame, path: str, options: dict[str, str] | None = None) -> DataFrame:
-    df.write.options(**(options or {})).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    return _write(df, work_path(df.sparkSession, label))
-
-
-class Scratch:
-    """Tables of one computation in the shared folder; they go when its block ends."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root, self.count = spark, work_path(spark, label), 0
-
-    def table(self, df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
-        self.count += 1
-        return _write(df, f"{self.root}/{self.count}-{label}", options)
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def __exit__(self, *_) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def spread_join(rows: DataFrame, dims: DataFrame, on: list[str], held: str, how: str = "inner") -> DataFrame:
     """``rows`` with the one row of ``dims`` that their key has; ``held`` counts the rows of each key.
 
@@ -119,11 +74,24 @@ def cut_text(text: str, size: int) -> list[str]:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Python workers that start elsewhere find this package where the driver program has it
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Executors get this package as a zip file, once per Spark context."""
+    context = spark.sparkContext
+    if not getattr(context, "_trackloom_shipped", False):
+        package = Path(__file__).parents[1]
+        context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='trackloom-')}/{package.name}", "zip", package.parent, package.name))
+        context._trackloom_shipped = True
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` by a function of this package."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def bitmap(rows: DataFrame, bit: Column) -> DataFrame:
     """(word, bitmap): a bitmap of the non-negative numbers ``bit``; as large as their bound, whatever the row count."""
     at = bit + 1  # the bitmap functions count from 1
@@ -165,4 +133,4 @@ def map_text(df: DataFrame, make: Callable[[], Callable[[list], dict]], added: s
             out = pa.RecordBatch.from_arrays(columns, names=[*old, *fresh])
             yield out.filter(pa.array(got[where], pa.bool_())) if where else out
 
-    return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+    return map_batches(df.select(*[F.col(f"`{c}`") for c in kept]), run, schema)

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import map_batches
 from .tokenise import encode_batches, vocabulary_path
 
 PLACED = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -160,7 +161,7 @@ def harmonic_pack(
         if out:
             yield _batch(out, out_schema)
 
-    return rows.mapInArrow(pack, schema)
+    return map_batches(rows, pack, schema)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

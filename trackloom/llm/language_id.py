@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_share, held_out, map_text
+from .common import hash_share, held_out, map_batches, map_text
 
 _LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -158,7 +158,7 @@ def train(
     """Learn from the rows outside the held-out fold that have a language and a letter."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counted = rows.select("text", "lang").mapInArrow(lambda it: _frequencies(it, bits), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
+    counted = map_batches(rows.select("text", "lang"), lambda it: _frequencies(it, bits), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
     per_language = {r["lang"]: r["n"] for r in counted if r["bucket"] < 0}
     total = sum(per_language.values())
     if not total:

@@ -120,8 +120,7 @@ def flush(rows: DataFrame, scratch: Scratch, batches: int) -> list[DataFrame]:
     """Memtables: each task's rows (digest, doc_id, row_no), sorted; one pass deals the tasks to ``batches`` folders."""
     entries = rows.select("digest", "doc_id", F.monotonically_increasing_id().alias("row_no"), F.pmod(F.spark_partition_id(), F.lit(batches)).alias("batch"))
     entries = entries.sortWithinPartitions("batch", "digest")
-    scratch.count += 1
-    path = f"{scratch.root}/{scratch.count}-runs"
+    path = scratch.path("runs")
     entries.write.partitionBy("batch").parquet(path)
     read = rows.sparkSession.read.schema(entries.schema).parquet(path)
     return [read.where(F.col("batch") == k).drop("batch") for k in range(batches)]

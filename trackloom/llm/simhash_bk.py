@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_text, materialise, spread_join
+from .common import Scratch, map_batches, map_text, materialise, spread_join
 from .graph import connected_components
 
 
@@ -198,7 +198,7 @@ def links(distinct: DataFrame, scratch: Scratch, radius: int = 3, most: int = MO
     if not 0 <= radius <= 3:
         raise ValueError("four blocks hold an equal one only up to a radius of 3")
     dealt = shards(distinct, scratch, most).select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(lambda it: _link(it, radius), "a long, b long")
+    return map_batches(dealt, lambda it: _link(it, radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:

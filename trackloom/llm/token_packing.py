@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import map_batches
 from .tokenise import encode_batches, vocabulary_path
 
 BEFORE_IDS = "sequence_id long, n_tokens int, n_segments int"
@@ -130,7 +131,7 @@ def pack_token_ids(
         if pieces:
             yield from _matrix(pieces, capacity, pad_id, following, out)
 
-    return rows.mapInArrow(pack, schema)
+    return map_batches(rows, pack, schema)
 
 
 def _matrix(pieces: list[tuple], capacity: int, pad_id: int, first: int, schema: pa.Schema, rows: int = 256) -> Iterator[pa.RecordBatch]:
