@@ -103,3 +103,115 @@ def test_quality_scores(spark):
     assert qg.score(documents(spark, []), model).count() == 0
     blank = qg.train(docs, labels.limit(0))
     assert {r["score"] for r in qg.score(documents(spark, AWKWARD), blank).collect()} == {0.5}
+
+
+def slow_boosting(x, y, trees, depth, rate, l2, least, bins):
+    """Newton boosting by direct sums over every candidate threshold; returns the margins of the rows."""
+    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
+    margin = np.full(len(x), np.log(y.mean() / (1 - y.mean())))
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = p - y, p * (1 - p)
+        nodes = [np.arange(len(x))]
+        for _ in range(depth):
+            below = []
+            for rows in nodes:
+                best, at = 1e-6, None
+                worth = lambda r: g[r].sum() ** 2 / (h[r].sum() + l2)  # noqa: E731, B023
+                for j, column in enumerate(edges):
+                    for t in column:
+                        left, right = rows[x[rows, j] <= t], rows[x[rows, j] > t]
+                        gain = worth(left) + worth(right) - worth(rows)
+                        if h[left].sum() >= least and h[right].sum() >= least and gain > best + 1e-12:
+                            best, at = gain, (left, right)
+                below += at or (rows, rows[:0])
+            nodes = below
+        for rows in nodes:
+            margin[rows] -= rate * g[rows].sum() / (h[rows].sum() + l2)
+    return margin
+
+
+def test_histogram_splits_equal_direct_sums():
+    rng = np.random.default_rng(5)
+    for seed in range(4):
+        x = np.random.default_rng(seed).normal(size=(150, 4))
+        x[:, 2] = np.round(x[:, 2])
+        y = (x[:, 0] + 0.5 * x[:, 2] + rng.normal(size=150) > 0).astype(float)
+        model = qg.fit_trees(x, y, trees=6, depth=3, bins=12)
+        assert np.allclose(model.margin(x), slow_boosting(x, y, 6, 3, 0.15, 1.0, 2.0, 12))
+
+
+def test_statistics_of_parts_equal_those_of_the_whole(monkeypatch):
+    text = "Some words. Some words, again! | a\tb\n\nSome more lines here\n" * 40
+    whole = qg.statistics(text)
+    monkeypatch.setattr(qg, "PART_CHARS", 50)
+    assert np.allclose(qg.statistics(text), whole)
+    named = dict(zip(qg.FEATURES, whole))
+    words = text.split()
+    assert named["unique_words"] == len(set(words)) / len(words) and named["unique_pairs"] == len(set(zip(words, words[1:]))) / (len(words) - 1)
+
+
+def slow_counts(text, bits):
+    """Hashed 1- to 3-grams one by one, in plain integers."""
+    c = [ord(x) for x in text.lower()]
+    m = 0xFFFFFFFF
+    one = [x * 0x9E3779B1 & m for x in c]
+    two = [((a ^ (b >> 15)) * 0x85EBCA77 + b) & m for a, b in zip(one, one[1:])]
+    three = [((a ^ (b >> 13)) * 0xC2B2AE3D + x) & m for a, b, x in zip(two, two[1:], one[2:])]
+    out = {}
+    for h in one + two + three:
+        k = (h * 0x27D4EB2F & m) >> (32 - bits)
+        out[k] = out.get(k, 0) + 1
+    return out
+
+
+def test_ngrams_and_weights_equal_plain_versions():
+    import math
+
+    for text in ("", "a", "ab", "Ünï cödé, twice twice"):
+        got = li.ngram_counts(text, 10)
+        assert {k: int(v) for k, v in enumerate(got) if v} == slow_counts(text, 10)
+    idf = np.linspace(1, 3, 1 << 10)
+    model = li.LanguageModel(["x"], np.zeros((1 << 10, 1)), np.zeros(1), idf, 10)
+    counts = slow_counts("some text of some words", 10)
+    keys = sorted(counts)
+    raw = [(1 + math.log(counts[k])) * idf[k] for k in keys]
+    length = math.sqrt(sum(v * v for v in raw))
+    assert np.allclose(model.vector(np.array(keys), np.array([counts[k] for k in keys])), [v / length for v in raw])
+
+
+def test_ftrl_equals_one_coordinate_at_a_time():
+    import math
+
+    rng = np.random.default_rng(3)
+    size, classes, alpha, beta, l1, l2 = 6, 3, 0.5, 1.0, 0.02, 0.1
+    learner = li.Ftrl(size, classes, alpha, beta, l1, l2)
+    z, n = {}, {}
+
+    def weight(key):
+        s = z.get(key, 0.0)
+        return 0.0 if abs(s) <= l1 else -(s - math.copysign(l1, s)) / ((beta + math.sqrt(n.get(key, 0.0))) / alpha + l2)
+
+    for _ in range(60):
+        idx = np.sort(rng.choice(size, 3, replace=False))
+        x, label = rng.random(3), int(rng.integers(classes))
+        learner.step(idx, x, label)
+        row = [*zip(idx.tolist(), x.tolist()), (size, 1.0)]
+        margins = [sum(v * weight((i, c)) for i, v in row) for c in range(classes)]
+        exps = [math.exp(m) for m in margins]
+        updates = []
+        for c in range(classes):
+            error = exps[c] / sum(exps) - (c == label)
+            updates += [((i, c), v * error, weight((i, c))) for i, v in row]
+        for key, g, w in updates:
+            sigma = (math.sqrt(n.get(key, 0.0) + g * g) - math.sqrt(n.get(key, 0.0))) / alpha
+            z[key] = z.get(key, 0.0) + g - sigma * w
+            n[key] = n.get(key, 0.0) + g * g
+    assert np.allclose(learner.weights(), [[weight((i, c)) for c in range(classes)] for i in range(size + 1)])
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "the cat and the dog went out", "en") for i in range(300)] + [(1000 + i, "der hund und die katze", "de") for i in range(4)]
+    rows += [rows[0]] * 50
+    model = li.train(documents(spark, rows), sample_rows=20)
+    assert model.languages == ["de", "en"] and model.predict("die katze und der hund")[0] == "de"
