@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Each round is two grouped minima and two joins over the remaining edges, written to the shared
-folder; the edge set shrinks to stars. A centre that holds a large share of all edges meets them by broadcast
-(:func:`.common.spread_join`). Only counts and a checksum reach the driver.
+folder; the edge set shrinks to stars. A centre that holds a large share of all edges is a skewed side of an inner join, which
+adaptive execution splits. Only a count and a checksum reach the driver.
 """
 
 from __future__ import annotations
@@ -20,11 +20,10 @@ def _mark(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def _star(pairs: DataFrame, larger_only: bool, scratch: Scratch) -> DataFrame:
+def _star(pairs: DataFrame, larger_only: bool) -> DataFrame:
     """pairs (u, v): every v (that is larger than u, if asked) points at u's smallest neighbour, itself included."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("held"))
-    least = scratch.table(least.select("u", F.least("u", "m").alias("m"), "held"), "least")
-    joined = spread_join(pairs, least, ["u"], "held")
+    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
+    joined = pairs.join(least, "u")
     if larger_only:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -40,8 +39,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         seen = _mark(now)
         while seen[0]:
             both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-            large = _star(both, True, scratch)
-            now = scratch.table(_star(large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), False, scratch), "edges")
+            large = _star(both, larger_only=True)
+            now = scratch.table(_star(large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), larger_only=False), "edges")
             if (mark := _mark(now)) == seen:
                 break
             seen = mark
