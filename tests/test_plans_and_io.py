@@ -77,7 +77,7 @@ def test_files_round_trip(spark, tmp_path):
 
 
 def test_reader_errors(spark, tmp_path):
-    """Recordings without a file are left out, nested files are found, and nothing at all is an error (data_loads.py:50-52, 173-190)."""
+    """Recordings without a file are left out, nested files are found, and nothing at all is an error."""
     rows = spark.createDataFrame([(0, 1, "nose", 1.0, 2.0)], readers.TRACK).toPandas().astype({"video_frame": "int32", "mouse_id": "int32", "x": "float32", "y": "float32"})
     rows.to_parquet(_made(tmp_path / "tracks/L/deep") / "v{1}.parquet")
     rows.to_parquet(tmp_path / "tracks/L/v2.parquet")

@@ -14,11 +14,12 @@ from ..functions.sizes import broadcast_if_small
 
 # Parts of the body halves.
 UPPER = (
-    "nose head ear_left ear_right neck headpiece_bottombackleft headpiece_bottombackright headpiece_bottomfrontleft "
-    "headpiece_bottomfrontright headpiece_topbackleft headpiece_topbackright headpiece_topfrontleft headpiece_topfrontright"
-).split()
-LOWER = "tail_base hip_left hip_right".split()
-OTHER = "body_center lateral_left lateral_right spine_1 spine_2".split()
+    "nose", "head", "ear_left", "ear_right", "neck", "headpiece_bottombackleft", "headpiece_bottombackright",
+    "headpiece_bottomfrontleft", "headpiece_bottomfrontright", "headpiece_topbackleft", "headpiece_topbackright",
+    "headpiece_topfrontleft", "headpiece_topfrontright",
+)
+LOWER = ("tail_base", "hip_left", "hip_right")
+OTHER = ("body_center", "lateral_left", "lateral_right", "spine_1", "spine_2")
 
 _AXIS = re.compile(r"(?:^|_)[xy](?:_|$)")
 

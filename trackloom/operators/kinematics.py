@@ -14,19 +14,24 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import half_even, hypot, safe_max, wrap_angle
 from ..functions.sizes import broadcast_if_small
+from ..functions.tables import materialise
 from ..functions.windows import centred, distinct_values, lagged, ordered, trailing
 from .geometry import agent_frame, body_geometry, ear_gap, reference_length
 
 PAIR_TRACK = ["aug", "video_id", "agent_id", "target_id"]
 MOUSE_TRACK = ["aug", "video_id", "mouse_id"]
 
+#: Names and order of the features.
 PAIR_FEATURES = (
-    "r_center r_head theta_center theta_head cos_dpsi sin_dpsi long lat v_long v_lat dr_center d2r_center dtheta_center d2dtheta_center "
-    "align_agent_los align_target_los motion_parallel frac_approach_tau t_since_contact a_long a_lat turn_toward head_approach cos_theta sin_theta"
-).split()
+    "r_center", "r_head", "theta_center", "theta_head", "cos_dpsi", "sin_dpsi", "long", "lat", "v_long", "v_lat",
+    "dr_center", "d2r_center", "dtheta_center", "d2dtheta_center", "align_agent_los", "align_target_los",
+    "motion_parallel", "frac_approach_tau", "t_since_contact", "a_long", "a_lat", "turn_toward", "head_approach",
+    "cos_theta", "sin_theta",
+)
 MOUSE_FEATURES = (
-    "v_forward v_lateral a_forward a_lateral speed_total turn_agent curvature turn_smoothness forward_consistency lat_ratio_med speed_med mouse_body_len ear_gap"
-).split()
+    "v_forward", "v_lateral", "a_forward", "a_lateral", "speed_total", "turn_agent", "curvature", "turn_smoothness",
+    "forward_consistency", "lat_ratio_med", "speed_med", "mouse_body_len", "ear_gap",
+)
 
 
 def lag_frames(meta: DataFrame, lag_sec: float) -> DataFrame:
@@ -175,10 +180,11 @@ def mouse_kinematics(tracks: DataFrame, meta: DataFrame, *, lag_sec: float, norm
 
 
 def single_mouse(dt: DataFrame, meta: DataFrame, *, lag_sec: float, norm_by: str | None = None, values: Sequence[int] | None = None) -> DataFrame:
-    """Kinematics of agent (ag_) and target (tg_), computed once per mouse and joined twice."""
+    """Kinematics of agent (ag_) and target (tg_), computed once per mouse, written, and joined twice."""
+    dt = materialise(dt, "pair-rows")
     ids = [*PAIR_TRACK, "video_frame", *(["action"] if "action" in dt.columns else [])]
     own = mouse_kinematics(mouse_tracks(dt), meta, lag_sec=lag_sec, norm_by=norm_by, values=values)
-    return join_mouse_features(dt.select(*ids), own)
+    return join_mouse_features(dt.select(*ids), materialise(own, "mouse-features"))
 
 
 def join_mouse_features(out: DataFrame, own: DataFrame) -> DataFrame:

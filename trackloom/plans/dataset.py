@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import materialise
 from ..functions.windows import distinct_values
 from ..operators import augment, geometry, kinematics, spine
 from ..operators.score import fbeta_by_action
@@ -32,16 +33,18 @@ def build_dataset(tracks: DataFrame, labels: DataFrame, meta: DataFrame, whiteli
 
     ``tracks`` are in pixels, ``labels`` are frames (see :func:`spine.expand_to_frames`).
     """
-    wide = geometry.normalize_xy(spine.tracks_wide(tracks, p.bodyparts), meta)
+    # each of the three tables below is read several times, so each is written once
+    wide = materialise(geometry.normalize_xy(spine.tracks_wide(tracks, p.bodyparts), meta), "wide-tracks")
     dt = spine.fill_missing(spine.pair_spine(wide, labels, whitelist), p.fill)
     ks = distinct_values(kinematics.lag_frames(meta, p.lag_sec), "kf")
     dt = augment.add_augmented_blocks(dt, meta, p.lag_sec, p.seed, ks) if p.augment else dt.withColumn("aug", F.lit(False))
+    dt = materialise(dt, "pair-rows")
     keys = [*kinematics.PAIR_TRACK, "video_frame", "action"]
     options = {"lag_sec": p.lag_sec, "norm_by": p.norm_by, "values": ks}
     # distances ride along the invariants' lineage; only the mice's own tracks come back by joins
     apart = geometry.pair_distances(dt, p.bodyparts, dt.columns, p.bp_set)
     distances = [c for c in apart.columns if c not in dt.columns]
-    own = kinematics.mouse_kinematics(kinematics.mouse_tracks(dt), meta, **options)
+    own = materialise(kinematics.mouse_kinematics(kinematics.mouse_tracks(dt), meta, **options), "mouse-features")
     out = kinematics.join_mouse_features(kinematics.pair_invariants(apart, meta, **options, carry=distances), own)
     if p.window_cols:
         out = kinematics.lag_window_stats(out, meta, p.window_cols, lag_sec=p.lag_sec, num_windows=p.num_windows, values=ks)
