@@ -94,6 +94,27 @@ def test_overlap_scoring(spark):
     assert (r["tp"], r["fn"], r["fp"]) == (4, 6, 2) and r["f_beta"] == pytest.approx(0.5)
 
 
+def test_overlap_across_bins(spark):
+    """Long and short disjoint intervals against a count of frames."""
+    import random
+
+    rng = random.Random(6)
+
+    def spread(n, longest):
+        at, out = rng.randrange(50), []
+        for _ in range(n):
+            stop = at + rng.randrange(1, longest)
+            out.append((at, stop))
+            at = stop + rng.randrange(300)
+        return out
+
+    sides = [{k: spread(n, longest) for k, (n, longest) in (("a", (40, 400)), ("b", (3, 5000)))} for _ in range(2)]
+    one, two = (spark.createDataFrame([(k, s, e) for k, v in side.items() for s, e in v], "k string, start_frame int, stop_frame int") for side in sides)
+    frames = [{k: {f for s, e in v for f in range(s, e)} for k, v in side.items()} for side in sides]
+    got = {r["k"]: r["overlap"] for r in score.interval_overlap(one, two, ["k"]).collect()}
+    assert got == {k: len(frames[0][k] & frames[1][k]) for k in "ab"}
+
+
 def test_validation_messages(spark):
     truth = solution(spark, [(1, "mouse1", "mouse2", "a", 0, 10)])
     good = truth.drop("lab_id", "behaviors_labeled")

@@ -10,6 +10,8 @@ from ..functions.exprs import fbeta
 KEY = ["video_id", "agent_id", "target_id", "action"]
 SUBMISSION = [*KEY, "start_frame", "stop_frame"]
 SOLUTION = [*SUBMISSION, "behaviors_labeled", "lab_id"]
+#: Frames of one bin of the interval join.
+BIN = 1024
 
 
 class HostVisibleError(Exception):
@@ -68,12 +70,24 @@ def validate_for_scoring(solution: DataFrame, submission: DataFrame) -> None:
         raise HostVisibleError(f"solution: {n} recordings with more than one list in behaviors_labeled")
 
 
+def _binned(rows: DataFrame, keys: list[str], start: str, stop: str) -> DataFrame:
+    """Intervals cut at multiples of ``BIN`` frames, so that only neighbours in time meet in a join."""
+    cut = rows.where("start_frame < stop_frame")
+    first, last = (F.floor(c / BIN).cast("int") for c in (F.col("start_frame"), F.col("stop_frame") - 1))
+    cut = cut.select(*keys, "start_frame", "stop_frame", F.explode(F.sequence(first, last)).alias("bin"))
+    return cut.select(*keys, "bin", F.greatest("start_frame", F.col("bin") * BIN).alias(start), F.least("stop_frame", (F.col("bin") + 1) * BIN).alias(stop))
+
+
+def _shared(a: DataFrame, b: DataFrame, keys: list[str], by: list[str], name: str, extra: list[str] | None = None) -> DataFrame:
+    """Frames that intervals of ``a`` and ``b`` (which also has the columns ``extra``) of one key share, summed by ``by``."""
+    left, right = _binned(a, keys, "s1", "e1"), _binned(b, [*(extra or []), *keys], "s2", "e2")
+    met = left.join(right, [*keys, "bin"]).where("s1 < e2 and s2 < e1")
+    return met.groupBy(*by).agg(F.sum(F.least("e1", "e2") - F.greatest("s1", "s2")).cast("long").alias(name))
+
+
 def interval_overlap(a: DataFrame, b: DataFrame, keys: list[str], name: str = "overlap") -> DataFrame:
     """Frames shared by the disjoint intervals of ``a`` and ``b``, summed by key."""
-    left = a.select(*keys, F.col("start_frame").alias("s1"), F.col("stop_frame").alias("e1"))
-    right = b.select(*keys, F.col("start_frame").alias("s2"), F.col("stop_frame").alias("e2"))
-    met = left.join(right, keys).where("s1 < e2 and s2 < e1")
-    return met.groupBy(*keys).agg(F.sum(F.least("e1", "e2") - F.greatest("s1", "s2")).cast("long").alias(name))
+    return _shared(a, b, keys, keys, name)
 
 
 def active_labels(solution: DataFrame) -> DataFrame:
@@ -98,10 +112,7 @@ def fbeta_stats(solution: DataFrame, submission: DataFrame, beta: float = 1.0, e
     group = ["lab_id", "action"]
     truth = solution.groupBy(*group).agg(length.alias("truth"))
     said = sub.groupBy(*extra, *group).agg(length.alias("said"))
-    left = solution.select(*keys, F.col("start_frame").alias("s1"), F.col("stop_frame").alias("e1"))
-    right = sub.select(*extra, *keys, F.col("start_frame").alias("s2"), F.col("stop_frame").alias("e2"))
-    met = left.join(right, keys).where("s1 < e2 and s2 < e1")
-    hit = met.groupBy(*extra, *group).agg(F.sum(F.least("e1", "e2") - F.greatest("s1", "s2")).cast("long").alias("tp"))
+    hit = _shared(solution, sub, keys, [*extra, *group], "tp", extra)
     if extra:
         # an action of a laboratory counts at each value that left an interval in that laboratory
         values = sub.select(*extra, "lab_id").distinct()
