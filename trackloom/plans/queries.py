@@ -322,7 +322,7 @@ def gbt_oof(s: SparkSession, d: str) -> DataFrame:
     truth = post.argmax_frames(fx.scores(s, d, 0), fx.TRUTH_Z).select(*K4, "action")
     rows = wide.join(truth, K4, "left").withColumn("action", F.coalesce("action", F.lit(spine.NOTHING)))
     actions = ["click", "error", "purchase", "signup", "view"]
-    heads = model.BoostedHeads(actions, actions, folds=2, params={"maxIter": 5, "maxDepth": 3}, use_weights=True)
+    heads = model.BoostedHeads(actions, actions, folds=2, params={"maxIter": 3, "maxDepth": 3}, use_weights=True)
     return heads.fit(rows, fx.whitelist(s, d))["oof"]
 
 
