@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,7 +44,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 class Scratch:
-    """Tables of one computation in the shared folder; they go when its block ends."""
+    """Tables of one computation in the shared folder; they go when its block ends.
+
+    A computation of many small jobs leaves plans, generated classes, shuffles and broadcasts in the driver, which Spark
+    gives up only with the objects that name them; so the block's end also collects those.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root, self.count = spark, work_path(spark, label), 0
@@ -61,3 +66,5 @@ class Scratch:
     def __exit__(self, *_) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        self.spark._jvm.System.gc()
