@@ -31,8 +31,11 @@ def _star(pairs: DataFrame, larger_only: bool) -> DataFrame:
     return out.where("a != b").distinct()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node reachable, for every node that has an edge. Null ends are ignored."""
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", *, into: Scratch | None = None) -> DataFrame:
+    """(node, component): the smallest node reachable, for every node that has an edge. Null ends are ignored.
+
+    The result is a table of ``into``, or of the shared folder.
+    """
     cut = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(f"{a} is not null and {b} is not null and a != b").distinct()
     with Scratch(edges.sparkSession, "components") as scratch:
         now = scratch.table(cut, "edges")
@@ -45,7 +48,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
                 break
             seen = mark
         roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
-        return materialise(now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots), "components")
+        found = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+        return into.table(found, "components") if into else materialise(found, "components")
 
 
 def band_links(bands: DataFrame, known: DataFrame, near: Callable[[DataFrame], DataFrame], scratch: Scratch, *, where: str = "true", pivots: int = 16) -> DataFrame:
@@ -61,7 +65,7 @@ def band_links(bands: DataFrame, known: DataFrame, near: Callable[[DataFrame], D
     """
 
     def placed(rows: DataFrame) -> DataFrame:
-        parts = connected_components(edges)
+        parts = connected_components(edges, into=scratch)
         return scratch.table(rows.join(parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component")), "bands")
 
     edges = known

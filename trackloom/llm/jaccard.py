@@ -108,7 +108,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     made = map_text(rows, lambda: lambda texts: _sketch(texts, shingle), "node long, n int, fp long, keys array<long>, hashes array<long>")
     with Scratch(docs.sparkSession, "jaccard") as scratch:
         sketches = scratch.table(made.drop("text"), "sketches")
-        parts = connected_components(links(sketches, scratch))
+        parts = connected_components(links(sketches, scratch), into=scratch)
         sized = sketches.groupBy("node").agg(F.count(F.lit(1)).alias("held")).join(parts, "node", "left")
         sized = scratch.table(sized.select("node", "held", F.coalesce("component", "node").alias("component")), "components")
         named = spread_join(sketches.select("doc_id", "text_hash", "node"), sized, ["node"], "held")

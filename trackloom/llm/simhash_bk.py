@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame, *, radius: int = 3, id_col: str = "doc_id",
     with Scratch(docs.sparkSession, "simhash") as scratch:
         fps = scratch.table(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
         groups = scratch.table(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("held")), "groups")
-        parts = connected_components(links(groups.select("fp"), scratch, radius))
+        parts = connected_components(links(groups.select("fp"), scratch, radius), into=scratch)
         linked = scratch.table(parts.join(groups, parts["node"] == groups["fp"]).select("fp", "component", "least"), "linked")
         least = scratch.table(linked.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("nodes")), "least")
         named = spread_join(linked.select("fp", "component"), least, ["component"], "nodes").select("fp", "component_id")
