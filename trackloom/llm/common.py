@@ -7,7 +7,9 @@ import tempfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,8 @@ from ..functions.tables import Scratch, materialise  # noqa: F401
 
 #: A key that holds more than one row in so many counts as hot: fewer keys than this can.
 HOT_SHARE = 1000
+#: Bytes of text that a worker takes at a time; all it holds is a multiple of that, or of one longer text.
+SLICE_BYTES = 1 << 21
 _SPACES = " \n\t\r\x0b\x0c"
 
 
@@ -73,6 +77,16 @@ def cut_text(text: str, size: int) -> list[str]:
     return [*parts, text[at:]]
 
 
+def row_slices(texts: pa.Array, size: int) -> Iterator[range]:
+    """Ranges of rows whose texts take ``size`` bytes together, or of one row."""
+    sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto, row = np.cumsum(sizes), 0
+    while row < len(sizes):
+        stop = max(row + 1, int(np.searchsorted(upto, upto[row] - sizes[row] + size, side="right")))
+        yield range(row, stop)
+        row = stop
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -128,9 +142,11 @@ def map_text(df: DataFrame, make: Callable[[], Callable[[list], dict]], added: s
         f = make()
         types = {x.name: to_arrow_type(x.dataType) for x in new}
         for batch in batches:
-            got = f(batch.column(at).to_pylist())
-            columns = [batch.column(i) for i in from_old] + [pa.array(got[n], types[n]) for n in fresh]
-            out = pa.RecordBatch.from_arrays(columns, names=[*old, *fresh])
-            yield out.filter(pa.array(got[where], pa.bool_())) if where else out
+            for rows in row_slices(batch.column(at), SLICE_BYTES):
+                part = batch.slice(rows.start, len(rows))
+                got = f(part.column(at).to_pylist())
+                columns = [part.column(i) for i in from_old] + [pa.array(got[n], types[n]) for n in fresh]
+                out = pa.RecordBatch.from_arrays(columns, names=[*old, *fresh])
+                yield out.filter(pa.array(got[where], pa.bool_())) if where else out
 
     return map_batches(df.select(*[F.col(f"`{c}`") for c in kept]), run, schema)

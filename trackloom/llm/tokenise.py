@@ -25,7 +25,7 @@ from .common import cut_text
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 #: Bytes of text that are tokenised together, and the longest piece that is merged here.
-SLICE_BYTES = 1 << 23
+SLICE_BYTES = 1 << 21
 PIECE_BYTES = 48
 
 _LETTER, _DIGIT, _SIGN, _HARD = range(4)
