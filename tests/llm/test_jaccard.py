@@ -57,3 +57,50 @@ def test_repeated_and_null_ids_lose_no_text(spark):
     rows = [(1, say("a")), (1, say("b")), (1, say("a")), (2, say("b")), (None, say("c")), (None, say("c")), (None, say("a"))]
     got = [(r["doc_id"], r["text"]) for r in cp.near_duplicate_stage(spark, documents(spark, rows), "").collect()]
     assert sorted(got, key=str) == sorted([(1, say("a")), (1, say("b")), (None, say("c"))], key=str)
+
+
+def shared_passage(n):
+    """Texts of 80 words that all have in common and 20 of their own, similarity 0.66 to each other; every tenth has a near copy."""
+    common = [f"c{k}" for k in range(80)]
+    texts = [common + [f"o{i}x{k}" for k in range(20)] for i in range(n)]
+    texts += [t[:-1] + ["end"] for t in texts[::10]]
+    return [(d, " ".join(t)) for d, t in enumerate(texts)]
+
+
+def compared(spark, monkeypatch, rows):
+    """Pairs of texts that the bands compare, and the groups found."""
+    seen, plain = [], jaccard.band_links
+
+    def counted(bands, known, near, scratch, **more):
+        def ask(pairs):
+            seen.append(pairs.count())
+            return near(pairs)
+
+        return plain(bands, known, ask, scratch, **more)
+
+    monkeypatch.setattr(jaccard, "band_links", counted)
+    got = {}
+    for r in jaccard.near_duplicates(documents(spark, rows)).collect():
+        got.setdefault(r["component"], set()).add(r["doc_id"])
+    return sum(seen), sorted(map(sorted, got.values()))
+
+
+def as_groups(rows):
+    want = {}
+    for d, c in groups(rows).items():
+        want.setdefault(c, set()).add(d)
+    return sorted(map(sorted, want.values()))
+
+
+def test_a_passage_in_all_texts_compares_few_pairs(spark, monkeypatch):
+    rows = shared_passage(200)
+    pairs, found = compared(spark, monkeypatch, rows)
+    assert found == as_groups(rows) and len(found) == 200
+    # small bands still compare all of theirs
+    assert pairs < len(rows) * (len(rows) - 1) // 2 // 4
+
+
+def test_rarest_shingles_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MOST", 1)
+    rows = near_copies()[:60] + [(1000 + d, t) for d, t in shared_passage(20)]
+    assert compared(spark, monkeypatch, rows)[1] == as_groups(rows)

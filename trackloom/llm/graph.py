@@ -55,10 +55,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", *, into:
 def band_links(bands: DataFrame, known: DataFrame, near: Callable[[DataFrame], DataFrame], scratch: Scratch, *, where: str = "true", pivots: int = 16) -> DataFrame:
     """Edges (a, b) between nodes whose components are those of the ``known`` edges and of all near pairs that share a band.
 
-    bands: (key, node, n), one row per band and node; ``near`` keeps the linked ones of pairs (a, b), and pairs that
-    fail ``where`` (over n and p_n) are not asked about. A band's nodes meet ``pivots`` of their own at a time, those of
+    bands: (key, node, n, at), one row per band and node; ``near`` keeps the linked ones of pairs (a, b), and pairs that
+    fail ``where`` (over n, at, p_n and p_at) are not asked about. A band's nodes meet ``pivots`` of their own at a time, those of
     its smallest components first, and only while it holds several components: a group of n linked nodes
-    takes a small multiple of n comparisons. Each further round takes four times as many pivots.
+    takes a small multiple of n comparisons. Each further round takes four times as many pivots. Nodes of a band that do not
+    link are all compared, so the caller keeps such bands small.
 
     A band that holds a large share of all rows stays spread: its counts are aggregates, its pivots the first of those
     that each task finds, and they come to its rows by broadcast.
@@ -66,7 +67,7 @@ def band_links(bands: DataFrame, known: DataFrame, near: Callable[[DataFrame], D
 
     def placed(rows: DataFrame) -> DataFrame:
         parts = connected_components(edges, into=scratch)
-        return scratch.table(rows.join(parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component")), "bands")
+        return scratch.table(rows.join(parts, "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("component")), "bands")
 
     edges = known
     bands = placed(bands)
@@ -79,11 +80,14 @@ def band_links(bands: DataFrame, known: DataFrame, near: Callable[[DataFrame], D
         sized = scratch.table(spread_join(several, sizes, ["key", "component"], "size").withColumn("task", F.spark_partition_id()), "sized")
         in_task = sized.withColumn("rank", F.row_number().over(Window.partitionBy("key", "task").orderBy("size", "node"))).where(F.col("rank") <= pivots)
         ranked = in_task.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("size", "node"))).where(F.col("rank") <= pivots)
-        chosen = ranked.groupBy("key").agg(F.collect_list(F.struct("node", "n", "component", "rank")).alias("pivots"))
+        chosen = ranked.groupBy("key").agg(F.collect_list(F.struct("node", "n", "at", "component", "rank")).alias("pivots"))
         met = scratch.table(spread_join(several, scratch.table(chosen.join(keys, "key"), "pivots"), ["key"], "held"), "met")
-        p = F.col("p")
-        one = met.select("node", "n", "component", F.explode("pivots").alias("p")).select("node", "n", "component", *[p[c].alias(f"p_{c}") for c in ("node", "n", "component")])
+        p, own = F.col("p"), F.array_position(F.transform("pivots", lambda x: x["node"]), F.col("node")).cast("int")
+        # a pivot meets those before it, so each pair of pivots is met once
+        ahead = F.slice("pivots", F.lit(1), F.when(own > 0, own - 1).otherwise(F.size("pivots")))
+        one = met.select("node", "n", "at", "component", F.explode(ahead).alias("p"))
+        one = one.select("node", "n", "at", "component", *[p[c].alias(f"p_{c}") for c in ("node", "n", "at", "component")])
         pairs = one.where(f"component != p_component and {where}").select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
         edges = scratch.table(edges.unionByName(near(scratch.table(pairs, "pairs"))), "edges")
-        bands = placed(met.where(~F.exists("pivots", lambda x: x["node"] == F.col("node"))).select("key", "node", "n"))
+        bands = placed(met.where(~F.exists("pivots", lambda x: x["node"] == F.col("node"))).select("key", "node", "n", "at"))
         pivots *= 4

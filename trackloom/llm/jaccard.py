@@ -8,8 +8,10 @@ block to go by. So what the trees have not joined yet meets in ``BANDS`` bands o
 shares no band with a probability of (1 - 0.8**5)**50 = 2.4e-9. Every candidate of either kind is judged by its whole
 sets; sets are written once and only candidates' sets are shuffled.
 
-Texts of a band are compared by :func:`.graph.band_links`, which leaves out no pair of a band unless both
-ends are connected already.
+A band of over ``MOST`` texts may be held together by a passage that all of them have and be far from 0.8, so that nothing
+links and every pair would be compared. Its texts meet by their rarest shingles instead (:func:`rarest`), which
+no pair at 0.8 can miss. Texts of a band or of a shingle are compared by :func:`.graph.band_links`, which leaves out no
+pair unless both ends are connected already.
 
 Defined results: texts of fewer words than a shingle are one shingle; null and empty texts have the empty set and
 equal each other only; a null id is carried through; repeated rows are one node; very long texts are sketched whole, eight
@@ -19,7 +21,7 @@ bytes a shingle; columns other than id and text are not read, whatever their nam
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash_bk
@@ -31,6 +33,8 @@ BANDS, ROWS, SEED = 50, 5, 42
 FILTER_BITS = 1 << 24
 #: Pivots of a band in the first round.
 PIVOTS = 16
+#: Texts of a band, beyond which they meet by their rarest shingles.
+MOST = 32
 
 _RNG = np.random.default_rng(SEED)
 _A = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -78,13 +82,30 @@ def _tree_pairs(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     return equal.unionByName(linked.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
 
 
+def rarest(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, node, n, at): shingles by which every pair of ``sets`` (node, hashes) at 0.8 meets; ``at`` counts the rarer ones of a node.
+
+    All sets are sorted by one order, rare shingles first. A pair at 0.8 has four fifths of either set in common, so its first
+    common shingle is among the n - ceil(0.8 n) + 1 first ones of both, and what follows it holds all others. Where that is
+    too little even for the smallest set that has the shingle, the row goes.
+    """
+    words = scratch.table(sets.select("node", F.size("hashes").alias("n"), F.explode("hashes").alias("key")), "words")
+    counts = scratch.table(words.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "counts")
+    order = Window.partitionBy("node").orderBy(F.coalesce("held", F.lit(1)), "key")
+    ranked = spread_join(words, counts, ["key"], "held", how="left").withColumn("at", F.row_number().over(order) - 1)
+    first = scratch.table(ranked.where("held > 1 and at <= n - (4 * n + 4) div 5").select("key", "node", "n", "at"), "first")
+    shared = scratch.table(first.groupBy("key").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("held")).where("held > 1"), "shared")
+    met = spread_join(first, shared, ["key"], "held").where("9 * (n - at) >= 4 * (n + least)")
+    return scratch.table(met.select("key", "node", "n", "at"), "rarest")
+
+
 def links(sketches: DataFrame, scratch: Scratch) -> DataFrame:
     """Edges (a, b) between nodes whose components are those of all links; sketches: (node, n, fp, keys, hashes)."""
     nodes = scratch.table(sketches.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "fp", "keys")]), "nodes")
     pairs = scratch.table(_tree_pairs(nodes, scratch), "tree-pairs")
     rows = nodes.select("node", "n", F.explode("keys").alias("key"))
     shared = scratch.table(rows.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "shared")
-    bands = scratch.table(spread_join(rows, shared, ["key"], "held").select("key", "node", "n"), "bands")
+    bands = scratch.table(spread_join(rows, shared, ["key"], "held").select("key", "node", "n", F.lit(0).alias("at"), "held"), "bands")
     asked = bands.select("node").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     probed = probe_bitmap(sketches.select("node", "hashes"), _bit("node"), bitmap(asked, _bit("node")))
     sets = scratch.table(probed.where("in_bitmap").groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
@@ -98,7 +119,11 @@ def links(sketches: DataFrame, scratch: Scratch) -> DataFrame:
         return both.where(9 * F.col("common") >= 4 * (F.size("a_set") + F.size("b_set"))).select("a", "b")
 
     known = scratch.table(near(pairs), "known")
-    return band_links(bands, known, near, scratch, where="5 * least(n, p_n) >= 4 * greatest(n, p_n)", pivots=PIVOTS)
+    crowded = bitmap(bands.where(F.col("held") > MOST).select("node"), _bit("node"))
+    met = bands.where(F.col("held") <= MOST).drop("held")
+    if not crowded.isEmpty():
+        met = met.unionByName(rarest(probe_bitmap(sets, _bit("node"), crowded).where("in_bitmap").drop("in_bitmap"), scratch))
+    return band_links(met, known, near, scratch, where="9 * least(n - at, p_n - p_at) >= 4 * (n + p_n)", pivots=PIVOTS)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
