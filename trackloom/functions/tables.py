@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -43,6 +45,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return write_table(df, work_path(df.sparkSession, label))
 
 
+def release_memory() -> None:
+    """Memory that this Python process has freed goes back to the system, of Arrow's pool and, where libc can, of malloc."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class Scratch:
     """Tables of one computation in the shared folder; they go when its block ends.
 
@@ -67,4 +77,5 @@ class Scratch:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         gc.collect()
+        release_memory()
         self.spark._jvm.System.gc()

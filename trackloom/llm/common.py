@@ -14,12 +14,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.tables import Scratch, materialise  # noqa: F401
+from ..functions.tables import Scratch, materialise, release_memory  # noqa: F401
 
 #: A key that holds more than one row in so many counts as hot: fewer keys than this can.
 HOT_SHARE = 1000
 #: Bytes of text that a worker takes at a time; all it holds is a multiple of that, or of one longer text.
 SLICE_BYTES = 1 << 21
+#: Bytes of an Arrow batch on its way to a worker: a slice, with room for the row that goes over.
+BATCH_BYTES = SLICE_BYTES // 8 * 7
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 _SPACES = " \n\t\r\x0b\x0c"
 
 
@@ -101,9 +104,23 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` by a function of this package."""
-    ship_package(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    """``mapInArrow`` by a function of this package.
+
+    Batches are bounded by their bytes, not just by Spark's count of rows (10,000 of any length), unless the session has a bound
+    of its own. What a worker has freed goes back to the system after each batch: workers stay for later computations.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    if spark.conf.get(_BATCH_CONF, None) is None:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    return df.mapInArrow(lambda batches: run(_releasing(batches)), schema)
+
+
+def _releasing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch
+        del batch
+        release_memory()
 
 
 def bitmap(rows: DataFrame, bit: Column) -> DataFrame:

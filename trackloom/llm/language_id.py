@@ -168,13 +168,14 @@ def train(
     df[[b for b, _ in real]] = [n for _, n in real]
     idf = np.log((1 + total) / (1 + df)) + 1
     languages = sorted(per_language)
+    # tables of the driver go out as Arrow: rows would start a second kind of Python worker, which stays in each executor
     # twice each language's bound in expectation, but never so few that a small share finds none
     bound = max(sample_rows // len(languages), 1)
-    shares = docs.sparkSession.createDataFrame([(x, (2 * bound + 20) / per_language[x]) for x in languages], "lang string, share double")
+    shares = docs.sparkSession.createDataFrame(pa.table({"lang": languages, "share": [(2 * bound + 20) / per_language[x] for x in languages]}))
     hashed = rows.withColumn("h", F.xxhash64("doc_id", "lang", "text"))
     near = hashed.join(F.broadcast(shares), "lang").where(hash_share(F.col("h")) < F.col("share")).groupBy("lang", "h").agg(F.count(F.lit(1)).alias("copies"))
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= bound)
-    chosen = docs.sparkSession.createDataFrame(ranked.select("lang", "h").collect(), "lang string, h long")
+    chosen = docs.sparkSession.createDataFrame(ranked.select("lang", "h").toArrow())
     sample = hashed.join(F.broadcast(chosen), ["lang", "h"], "left_semi").select("h", "lang", "text")
     sample = map_text(sample, lambda: lambda texts: _sparse(texts, bits), "idx binary, counts binary").groupBy("h", "lang").agg(F.first("idx").alias("idx"), F.first("counts").alias("counts"))
     got = sorted((r["h"], r["lang"], r["idx"], r["counts"]) for r in sample.collect())

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import cut_text
+from .common import cut_text, release_memory
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 #: Bytes of text that are tokenised together, and the longest piece that is merged here.
@@ -226,6 +226,7 @@ def word_tokeniser(path: str) -> WordTokeniser:
     """One tokeniser per worker process and file."""
     if path not in _CACHE:
         _CACHE[path] = WordTokeniser(path)
+        release_memory()
     return _CACHE[path]
 
 
