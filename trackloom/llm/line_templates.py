@@ -31,18 +31,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, bitmap, materialise, probe_bitmap, spread_join
+from .common import HOT_SHARE, Scratch, bitmap, materialise, probe_bitmap, spread_join
 
 FILTER_BITS = 1 << 24
 VARIABLE = "<*>"
 MIN_CHARS = 20
+#: A part of the tree is judged in one row if it has at most a thousandth of all lines, within these bounds.
+FEW, MANY = 32, 4096
+_SPACES = " \t\r\x0b\f"
 
 
 def _normalised(raw: Column) -> Column:
-    """Tokens apart by single spaces, those with a digit masked. Most lines need neither regular expression."""
-    loose = reduce(Column.__or__, [F.contains(raw, F.lit(x)) for x in ("  ", "\t", "\r", "\x0b", "\f")])
-    line = F.trim(F.when(loose, F.regexp_replace(raw, r"\s+", " ")).otherwise(raw))
-    return F.when(raw.rlike("[0-9]"), F.regexp_replace(line, r"\S*[0-9]\S*", VARIABLE)).otherwise(line)
+    """Tokens apart by single spaces, those with a digit masked. Most lines need neither; two looks at a line find that out."""
+    spaced = F.trim(F.regexp_replace(raw, r"\s+", " "))
+    plain = raw.rlike(r"\A[^0-9\t\r\x0b\f]*+\z") & ~F.contains(raw, F.lit("  "))
+    return F.when(plain, F.trim(raw)).otherwise(F.regexp_replace(spaced, r"\S*[0-9]\S*", VARIABLE))
 
 
 def _document(id_col: str, text_col: str) -> Column:
@@ -59,7 +62,8 @@ def _short(raw: Column, text: Column) -> Column:
 def _lines(docs: DataFrame, depth: int, min_tokens: int, id_col: str, text_col: str) -> DataFrame:
     """(doc, pos, text, leaf, line, n): leaf and line are 64-bit hashes, used together; n is null for short lines."""
     rows = docs.select(_document(id_col, text_col).alias("doc"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("pos", "raw"))
-    rows = rows.select("doc", "pos", "raw", _normalised(F.col("raw")).alias("text")).where(F.col("text") != "")
+    # asked of the raw line: a filter on the normalised one is pushed below it and normalises every line twice
+    rows = rows.where(F.ltrim("raw", F.lit(_SPACES)) != "").select("doc", "pos", "raw", _normalised(F.col("raw")).alias("text"))
     rows = rows.withColumn("n", F.octet_length("text") - F.octet_length(F.replace("text", F.lit(" "), F.lit(""))) + 1)
     long = F.col("n") >= min_tokens
     rows = rows.withColumn("text", F.when(long, F.col("text")).otherwise(_short(F.col("raw"), F.col("text"))))
@@ -71,51 +75,84 @@ def _bit(*columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
 
 
-def generalise(found: DataFrame, distinct: DataFrame, *, similarity: float, splits: int, scratch: Scratch) -> DataFrame:
-    """(leaf, line, template) of the different lines that take a template of their leaf or of a part of it."""
-    shared = scratch.table(distinct.where("n is not null").groupBy("leaf").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "leaves")
-    near = probe_bitmap(found.where("n is not null").select("leaf", "line", "n", "text"), _bit("leaf"), bitmap(shared, _bit("leaf"))).where("in_bitmap")
-    different = near.groupBy("leaf", "line", "n").agg(F.first("text").alias("text"))
-    several = spread_join(different, shared, ["leaf"], "held").select("leaf", "line", "n", F.col("leaf").alias("part"), F.posexplode(F.split("text", " ")).alias("at", "token"))
-    tokens = scratch.table(several.withColumn("token", F.xxhash64("token")), "tokens")
-    taken = []
+def _judge_large(lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """``lines`` with size, constants and cut of their part, however many lines it has: grouped aggregates over all tokens."""
+    seen = lines.select("part", F.posexplode("tokens").alias("at", "token")).groupBy("part", "at", "token").agg(F.count(F.lit(1)).alias("seen"))
+    # numbers only, so that they are hashed and not sorted; of a tie no token has a majority
+    places = seen.groupBy("part", "at").agg(F.max("seen").alias("most"), F.max_by("token", "seen").alias("token"), F.count(F.lit(1)).alias("kinds"), F.sum("seen").alias("held"))
+    constant = F.when(2 * F.col("most") > F.col("held"), F.col("token")).alias("constant")
+    by_place = F.sort_array(F.collect_list(F.struct("at", constant))).alias("places")
+    cut = F.min(F.when(F.col("kinds") > 1, F.struct("kinds", "at"))).alias("cut")
+    templates = places.groupBy("part").agg(F.max("held").alias("size"), by_place, cut).select("part", "size", F.col("places.constant").alias("constants"), F.col("cut.at").alias("cut"))
+    return spread_join(lines, scratch.table(templates, "templates"), ["part"], "size")
+
+
+def _judge_small(lines: DataFrame) -> DataFrame:
+    """The same for parts of few lines, each of them in one row: the sorted tokens of a place have a majority's token in the middle."""
+    parts = lines.groupBy("part").agg(F.collect_list(F.struct(*[c for c in lines.columns if c != "part"])).alias("rows"))
+    parts = parts.select("part", "rows", F.size("rows").cast("long").alias("size"))
+
+    def place(tokens: Column) -> Column:
+        middle = F.get(tokens, F.floor(F.size(tokens) / 2).cast("int"))
+        constant = F.when(2 * F.size(F.filter(tokens, lambda x: x == middle)) > F.size(tokens), middle)
+        return F.struct(constant.alias("constant"), F.size(F.array_distinct(tokens)).alias("kinds"))
+
+    ats = F.sequence(F.lit(0), F.size(F.get("rows.tokens", F.lit(0))) - 1)
+    columns = F.transform(ats, lambda at: F.sort_array(F.transform("rows.tokens", lambda x: F.get(x, at))))
+    parts = parts.withColumn("places", F.when(F.col("size") > 1, F.transform(columns, place)))
+    mixed = F.filter(F.transform("places", lambda p, at: F.struct(p.kinds.alias("kinds"), at.alias("at"))), lambda x: x.kinds > 1)
+    parts = parts.select("part", "rows", "size", F.col("places.constant").alias("constants"), F.array_min(mixed)["at"].alias("cut"))
+    return parts.select("part", "size", "constants", "cut", F.inline("rows"))
+
+
+def generalise(near: DataFrame, *, similarity: float, splits: int, scratch: Scratch) -> DataFrame:
+    """``near``, different lines with their token hashes, with the template of their leaf or of a part of it that they take, or null."""
+    names = [c for c in near.columns if c != "tokens"]
+    lines, found = near.withColumn("part", F.col("leaf")), []
     for k in range(splits + 1):
-        seen = tokens.groupBy("part", "at", "token").agg(F.count(F.lit(1)).alias("seen"))
-        most = F.max(F.struct("seen", "token"))
-        places = seen.groupBy("part", "at").agg(most.alias("most"), F.count(F.lit(1)).alias("kinds"), F.sum("seen").alias("held"))
-        by_part = Window.partitionBy("part")
-        cut = F.min(F.when(F.col("kinds") > 1, F.struct("kinds", "at"))).over(by_part)["at"]
-        constant = F.when(2 * F.col("most.seen") > F.col("held"), F.col("most.token"))
-        places = places.select("part", "at", "held", constant.alias("constant"), F.coalesce(F.col("at") == cut, F.lit(False)).alias("is_cut"))
-        met = spread_join(tokens, scratch.table(places, "places"), ["part", "at"], "held")
-        agrees = F.coalesce((F.col("token") == F.col("constant")).cast("int"), F.lit(0))
-        lines = met.groupBy("leaf", "line", "part", "n").agg(F.sum(agrees).alias("agrees"), F.max(F.when(F.col("is_cut"), F.col("token"))).alias("at_cut"), F.max("held").alias("held"))
-        lines = scratch.table(lines, "lines")
-        takes = (F.col("held") > 1) & (F.col("agrees") >= F.col("n") * similarity)
-        taken.append(lines.where(takes).select("leaf", "line", F.col("part").alias("template")))
-        if k < splits:
-            left = lines.where(~takes & (F.col("held") > 1)).select("leaf", "line", F.xxhash64("part", "at_cut").alias("part"), F.lit(1).cast("long").alias("held"))
-            tokens = scratch.table(tokens.drop("part").join(left.drop("held"), ["leaf", "line"]), "tokens")
-    return reduce(DataFrame.unionByName, taken)
+        sizes = scratch.table(lines.groupBy("part").agg(F.count(F.lit(1)).alias("size")), "sizes")
+        total, most = sizes.agg(F.sum("size"), F.max("size")).first()
+        bound = max(FEW, min(MANY, (total or 0) // HOT_SHARE))
+        if (most or 0) <= bound:
+            met = _judge_small(lines)
+        else:
+            large = F.broadcast(sizes.where(F.col("size") > bound).select("part"))
+            own = scratch.table(lines.join(large, "part", "left_semi"), "large")
+            met = _judge_small(lines.join(large, "part", "left_anti")).unionByName(_judge_large(own, scratch))
+        agrees = F.size(F.filter(F.zip_with("tokens", "constants", lambda x, c: F.coalesce(x == c, F.lit(False))), lambda x: x))
+        takes = (F.col("size") > 1) & (agrees >= F.size("tokens") * similarity)
+        judged = scratch.table(met.select(*names, "tokens", "part", "size", F.get("tokens", "cut").alias("at_cut"), takes.alias("takes")), "judged")
+        goes_on = ~F.col("takes") & (F.col("size") > 1) if k < splits else F.lit(False)
+        found.append(judged.where(~goes_on).select(*names, F.when(F.col("takes"), F.col("part")).alias("template")))
+        lines = judged.where(goes_on).select(*names, "tokens", F.xxhash64("part", "at_cut").alias("part"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def find_repeats(docs: DataFrame, *, depth: int = 3, min_tokens: int = 5, similarity: float = 0.8, splits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, drops): documents with the positions of their lines to drop."""
     with Scratch(docs.sparkSession, "lines") as scratch:
         found = scratch.table(_lines(docs, depth, min_tokens, id_col, text_col), "found")
-        distinct = found.groupBy("leaf", "line", "n").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("held"))
-        distinct = scratch.table(distinct, "different")
-        general = generalise(found, distinct, similarity=similarity, splits=splits, scratch=scratch)
-        named = distinct.join(general, ["leaf", "line"], "left").select(
-            "leaf", "line", "first", "last", "held", F.coalesce("template", "line").alias("template"), F.col("template").isNotNull().alias("general")
-        )
-        named = scratch.table(named, "named")
+        held = [F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("held")]
+        distinct = scratch.table(found.groupBy("leaf", "line", "n").agg(*held), "different")
+        shared = distinct.where("n is not null").groupBy("leaf").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1")
+        shared = scratch.table(bitmap(shared, _bit("leaf")), "leaves")
+        # lines alone in their leaf that the bitmap lets through are parts of one line: they take no template
+        near = probe_bitmap(found.where("n is not null").select("doc", "leaf", "line", "text"), _bit("leaf"), shared).where("in_bitmap")
+        near = near.groupBy("leaf", "line").agg(*held, F.first("text").alias("text"))
+        near = near.select("leaf", "line", "first", "last", "held", F.transform(F.split("text", " "), lambda x: F.xxhash64(x)).alias("tokens"))
+        general = generalise(scratch.table(near, "near"), similarity=similarity, splits=splits, scratch=scratch)
+        alone = probe_bitmap(distinct.where("first != last"), _bit("leaf"), shared).where("n is null or not in_bitmap")
+        named = general.unionByName(alone.select("leaf", "line", "first", "last", "held", F.lit(None).cast("long").alias("template")))
+        # a line that is its own template and stands in one document does not recur
+        named = named.where("template is not null or first != last").withColumn("general", F.col("template").isNotNull())
+        named = scratch.table(named.withColumn("template", F.coalesce("template", "line")), "named")
         key = ["leaf", "template", "general"]
         recurring = named.groupBy(*key).agg(F.min("first").alias("keeper"), F.max("last").alias("other"), F.count(F.lit(1)).alias("lines")).where("keeper != other")
         recurring = scratch.table(recurring.drop("other"), "recurring")
-        keepers = spread_join(named, recurring, key, "lines").where("first != keeper or last != keeper")
+        keepers = spread_join(named.select(*key, "line", "first", "last", "held"), recurring, key, "lines").where("first != keeper or last != keeper")
         keepers = scratch.table(keepers.select("leaf", "line", "keeper", "held"), "keepers")
-        repeated = spread_join(found.select("doc", "pos", "leaf", "line"), keepers, ["leaf", "line"], "held").where("doc != keeper")
+        able = probe_bitmap(found.select("doc", "pos", "leaf", "line"), _bit("leaf", "line"), bitmap(keepers, _bit("leaf", "line"))).where("in_bitmap")
+        repeated = spread_join(able.drop("in_bitmap"), keepers, ["leaf", "line"], "held").where("doc != keeper")
         return materialise(repeated.groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("drops")), "drops")
 
 
@@ -134,10 +171,11 @@ def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     all_ = touched.unionByName(alone)
     text = F.col("row").getField(text_col).cast("string")
     # a column of its own, read more than once: the lambda below must not split the text for every line
-    parts = all_.select("row", "drops", F.split(text, "\n").alias("parts"))
+    parts = all_.select("row", "drops", F.when(F.col("drops").isNotNull(), F.split(text, "\n")).alias("parts"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "drops")
     left = F.array_join(F.transform(stay, lambda i: F.get("parts", i)), "\n")
     out = [F.when(F.col("drops").isNotNull(), left).otherwise(text).alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names]
     if counts:
-        out += [F.coalesce(F.size("parts"), F.lit(0)).alias(counts[0]), F.coalesce(F.size("drops"), F.lit(0)).alias(counts[1])]
+        n_lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+        out += [F.coalesce(n_lines, F.lit(0)).alias(counts[0]), F.coalesce(F.size("drops"), F.lit(0)).alias(counts[1])]
     return parts.select(*out)
