@@ -26,8 +26,9 @@ def test_blank_lines_go_and_odd_ones_are_normalised(spark):
 
 @pytest.mark.parametrize("few", [1, 3, 32])
 def test_small_and_large_parts_are_judged_alike(spark, monkeypatch, few):
-    """``few``: parts above it are judged by grouped aggregates, all others in one row each."""
+    """``few``: parts above it are judged by blocks of two lines, all others in one row each."""
     monkeypatch.setattr(lt, "FEW", few)
+    monkeypatch.setattr(lt, "BLOCK", 2)
     rng = random.Random(few)
     words = [f"w{chr(97 + k)}" for k in range(4)]
     made = [(d, " ".join(["one", "two", rng.choice(words)] + [rng.choice(words[: rng.choice((1, 2, 4))]) for _ in range(rng.choice((2, 5, 8)))])) for d in range(1000, 1300)]

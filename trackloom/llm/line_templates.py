@@ -38,6 +38,8 @@ VARIABLE = "<*>"
 MIN_CHARS = 20
 #: A part of the tree is judged in one row if it has at most a thousandth of all lines, within these bounds.
 FEW, MANY = 32, 4096
+#: Lines of a larger part whose tokens are counted in one row before the counts meet.
+BLOCK = 256
 _SPACES = " \t\r\x0b\f"
 
 
@@ -75,16 +77,33 @@ def _bit(*columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
 
 
+def _columns(lists: str) -> Column:
+    """The tokens of each place, sorted, of token lists of one length."""
+    ats = F.sequence(F.lit(0), F.size(F.get(lists, F.lit(0))) - 1)
+    return F.transform(ats, lambda at: F.sort_array(F.transform(lists, lambda x: F.get(x, at))))
+
+
 def _judge_large(lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """``lines`` with size, constants and cut of their part, however many lines it has: grouped aggregates over all tokens."""
-    seen = lines.select("part", F.posexplode("tokens").alias("at", "token")).groupBy("part", "at", "token").agg(F.count(F.lit(1)).alias("seen"))
+    """``lines`` (with the size of their part) with constants and cut of their part, however many lines it has.
+
+    Blocks of lines count their tokens place by place; a row for each different token of a block's place goes on.
+    """
+    block = F.pmod(F.col("line"), F.ceil(F.col("size") / BLOCK)).alias("block")
+    blocks = lines.select("part", block, "tokens").groupBy("part", "block").agg(F.collect_list("tokens").alias("lists")).select("part", _columns("lists").alias("columns"))
+
+    def counts(tokens: Column, at: Column) -> Column:
+        kinds = F.array_distinct(tokens)  # in order, as the tokens are: each ends where the next begins
+        upto = lambda k: F.coalesce(F.array_position(tokens, F.get(kinds, k)), F.size(tokens) + 1)
+        return F.transform(kinds, lambda x, k: F.struct(at.alias("at"), x.alias("token"), (upto(k + 1) - upto(k)).alias("seen")))
+
+    seen = blocks.select("part", F.inline(F.flatten(F.transform("columns", counts)))).groupBy("part", "at", "token").agg(F.sum("seen").alias("seen"))
     # numbers only, so that they are hashed and not sorted; of a tie no token has a majority
     places = seen.groupBy("part", "at").agg(F.max("seen").alias("most"), F.max_by("token", "seen").alias("token"), F.count(F.lit(1)).alias("kinds"), F.sum("seen").alias("held"))
     constant = F.when(2 * F.col("most") > F.col("held"), F.col("token")).alias("constant")
     by_place = F.sort_array(F.collect_list(F.struct("at", constant))).alias("places")
     cut = F.min(F.when(F.col("kinds") > 1, F.struct("kinds", "at"))).alias("cut")
     templates = places.groupBy("part").agg(F.max("held").alias("size"), by_place, cut).select("part", "size", F.col("places.constant").alias("constants"), F.col("cut.at").alias("cut"))
-    return spread_join(lines, scratch.table(templates, "templates"), ["part"], "size")
+    return spread_join(lines.drop("size"), scratch.table(templates, "templates"), ["part"], "size")
 
 
 def _judge_small(lines: DataFrame) -> DataFrame:
@@ -97,9 +116,7 @@ def _judge_small(lines: DataFrame) -> DataFrame:
         constant = F.when(2 * F.size(F.filter(tokens, lambda x: x == middle)) > F.size(tokens), middle)
         return F.struct(constant.alias("constant"), F.size(F.array_distinct(tokens)).alias("kinds"))
 
-    ats = F.sequence(F.lit(0), F.size(F.get("rows.tokens", F.lit(0))) - 1)
-    columns = F.transform(ats, lambda at: F.sort_array(F.transform("rows.tokens", lambda x: F.get(x, at))))
-    parts = parts.withColumn("places", F.when(F.col("size") > 1, F.transform(columns, place)))
+    parts = parts.withColumn("places", F.when(F.col("size") > 1, F.transform(_columns("rows.tokens"), place)))
     mixed = F.filter(F.transform("places", lambda p, at: F.struct(p.kinds.alias("kinds"), at.alias("at"))), lambda x: x.kinds > 1)
     parts = parts.select("part", "rows", "size", F.col("places.constant").alias("constants"), F.array_min(mixed)["at"].alias("cut"))
     return parts.select("part", "size", "constants", "cut", F.inline("rows"))
@@ -116,8 +133,8 @@ def generalise(near: DataFrame, *, similarity: float, splits: int, scratch: Scra
         if (most or 0) <= bound:
             met = _judge_small(lines)
         else:
-            large = F.broadcast(sizes.where(F.col("size") > bound).select("part"))
-            own = scratch.table(lines.join(large, "part", "left_semi"), "large")
+            large = F.broadcast(sizes.where(F.col("size") > bound))
+            own = scratch.table(lines.join(large, "part"), "large")
             met = _judge_small(lines.join(large, "part", "left_anti")).unionByName(_judge_large(own, scratch))
         agrees = F.size(F.filter(F.zip_with("tokens", "constants", lambda x, c: F.coalesce(x == c, F.lit(False))), lambda x: x))
         takes = (F.col("size") > 1) & (agrees >= F.size("tokens") * similarity)
